@@ -1,0 +1,58 @@
+"""A keyed table fed by a stream, where the last write of a key wins.
+
+Each batch adds one folder with its newest row per key, so a write costs as
+much as the batch and not as much as the table. Reading resolves the folders;
+`compact` starts a new table from the resolved rows. No folder that is being
+read is ever overwritten.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ledgerloom.operators.ranking import latest_per_key
+
+_BATCH = "batch_id"
+
+
+def put_batch(df: DataFrame, path: str, batch_id: int, keys: Sequence[str], seq: str) -> None:
+    """Add the newest rows of one batch; the same batch put twice counts once."""
+    newest = latest_per_key(df, keys, [seq])
+    newest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_BATCH}={batch_id}")
+
+
+def current_rows(spark: SparkSession, path: str, keys: Sequence[str], seq: str) -> DataFrame:
+    """The table: for each key the row of its last batch, and in it of the largest seq."""
+    return latest_per_key(spark.read.parquet(path), keys, [_BATCH, seq]).drop(_BATCH)
+
+
+def compact(spark: SparkSession, path: str, new_path: str, keys: Sequence[str], seq: str) -> None:
+    """Write the current rows as the first batch (-1) of a table at a new path."""
+    current_rows(spark, path, keys, seq).write.parquet(f"{new_path.rstrip('/')}/{_BATCH}=-1")
+
+
+def upsert_stream(
+    arrivals: DataFrame,
+    path: str,
+    checkpoint: str,
+    keys: Sequence[str],
+    seq: str,
+    prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+) -> StreamingQuery:
+    """Put all items that have arrived into the table and stop.
+
+    `prepare` turns the rows of a batch into the items to put.
+    """
+
+    def put(batch: DataFrame, batch_id: int) -> None:
+        put_batch(prepare(batch), path, batch_id, keys, seq)
+
+    return (
+        arrivals.writeStream.foreachBatch(put)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
