@@ -80,12 +80,16 @@ def _month_over_month(spark, folder):
     return money_as_double(report(items, PERIOD, PREVIOUS_PERIOD))
 
 
-def _week_over_week(current, previous) -> Query:
+def _week_over_week(weeks: trend.Weeks) -> Query:
+    """The two steps of the report, each over items with only the columns it reads."""
+
     def run(spark, folder):
-        report = trend.week_over_week
-        last = current[1] + dt.timedelta(days=1)
-        items = cost_items(spark, folder, report.columns, previous[0], last, resource_key="l_suppkey")
-        return money_as_double(report(items, *current, *previous))
+        def items(step):
+            end = weeks.current_end + dt.timedelta(days=1)
+            return cost_items(spark, folder, step.columns, weeks.previous_start, end, resource_key="l_suppkey")
+
+        totals = trend.weekly_totals(items(trend.weekly_totals), weeks)
+        return money_as_double(trend.with_places(totals, items(trend.with_places), weeks))
 
     return run
 
@@ -419,10 +423,10 @@ def queries() -> dict[str, Query]:
         "service_resource_detail_all_periods": _detail_with_text_tags(_report_all(*detail)),
         "month_over_month": _month_over_month,
         "week_over_week": _week_over_week(
-            (dt.date(1998, 5, 11), dt.date(1998, 5, 17)), (dt.date(1998, 5, 4), dt.date(1998, 5, 10))
+            trend.Weeks(dt.date(1998, 5, 11), dt.date(1998, 5, 17), dt.date(1998, 5, 4), dt.date(1998, 5, 10))
         ),
         "week_over_week_long_spans": _week_over_week(
-            (dt.date(1998, 7, 1), dt.date(2001, 12, 31)), (dt.date(1995, 1, 1), dt.date(1998, 6, 30))
+            trend.Weeks(dt.date(1998, 7, 1), dt.date(2001, 12, 31), dt.date(1995, 1, 1), dt.date(1998, 6, 30))
         ),
         "monthly_report_distribution": _monthly_report("tagged_vs_untagged"),
         "monthly_report_expensive": _monthly_report("expensive_untagged"),

@@ -28,7 +28,7 @@ def require_rows(df: DataFrame, what: str) -> DataFrame:
     return df
 
 
-def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
+def first_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
     return df.limit(n)
 
 

@@ -3,60 +3,65 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import cost_trend, percent_change
 from ledgerloom.operators.filters import dates_between, is_net, non_empty
-from ledgerloom.operators.ranking import ascending, descending, top_k
+from ledgerloom.operators.ranking import top_k
 from ledgerloom.schema import COST, LINE_TYPE, REGION, RESOURCE, SERVICE, USAGE_START, reads
 
 # The k changed resources are broadcast up to this k; above it Spark picks the join.
 BROADCAST_ROWS = 10_000
 
 
-@reads(USAGE_START, LINE_TYPE, RESOURCE, SERVICE, REGION, COST)
-def week_over_week(
-    items: DataFrame,
-    current_start: dt.date,
-    current_end: dt.date,
-    previous_start: dt.date,
-    previous_end: dt.date,
-    k: int | None = 20,
-) -> DataFrame:
-    """Resources by growth of their cost from the previous week to the current one.
+@dataclass(frozen=True)
+class Weeks:
+    """Two spans of days to compare. A span ends at midnight of its last day."""
 
-    A row per (resource, service, region) seen from the previous start to the
-    current end, credits included; the costs are those of the whole resource,
-    net of credits and refunds, and repeat on each of its rows.
+    current_start: dt.date
+    current_end: dt.date
+    previous_start: dt.date
+    previous_end: dt.date
 
-    The totals take one aggregate per resource, combined map-side. As the order
-    depends on the resource only, the first k rows belong to the first k
-    resources, so only those are looked up in the table again: no group is
-    gathered in one task, and no join shuffles the whole table.
-    """
-    if not previous_start <= previous_end < current_start <= current_end:
-        raise ValueError("the previous week must end before the current week starts")
-    used = non_empty(items.where(dates_between(USAGE_START, previous_start, current_end)), RESOURCE)
+    def __post_init__(self):
+        if not self.previous_start <= self.previous_end < self.current_start <= self.current_end:
+            raise ValueError("the previous week must end before the current week starts")
+
+
+def _used(items: DataFrame, weeks: Weeks) -> DataFrame:
+    return non_empty(items.where(dates_between(USAGE_START, weeks.previous_start, weeks.current_end)), RESOURCE)
+
+
+@reads(USAGE_START, LINE_TYPE, RESOURCE, COST)
+def weekly_totals(items: DataFrame, weeks: Weeks, k: int | None = 20) -> DataFrame:
+    """Net cost of each resource in both weeks and its change; the k largest changes."""
 
     def net_cost_between(first, last):
-        return F.sum(F.when(dates_between(USAGE_START, first, last) & is_net(), F.col(COST)))
+        cost = F.when(dates_between(USAGE_START, first, last) & is_net(), F.col(COST))
+        return F.coalesce(F.sum(cost), F.lit(0))
 
     totals = (
-        used.groupBy(F.col(RESOURCE).alias("resource_id"))
+        _used(items, weeks)
+        .groupBy(F.col(RESOURCE).alias("resource_id"))
         .agg(
-            F.coalesce(net_cost_between(previous_start, previous_end), F.lit(0)).alias("prev_week_cost"),
-            F.coalesce(net_cost_between(current_start, current_end), F.lit(0)).alias("current_week_cost"),
+            net_cost_between(weeks.previous_start, weeks.previous_end).alias("prev_week_cost"),
+            net_cost_between(weeks.current_start, weeks.current_end).alias("current_week_cost"),
         )
         .where((F.col("current_week_cost") > 0) | (F.col("prev_week_cost") > 0))
         .withColumn("week_over_week_change", F.col("current_week_cost") - F.col("prev_week_cost"))
     )
-    if k is not None:
-        totals = top_k(totals, k, "week_over_week_change", ["resource_id"])
-        if k <= BROADCAST_ROWS:
-            totals = F.broadcast(totals)
-    places = used.select(
+    return totals if k is None else top_k(totals, k, "week_over_week_change", ["resource_id"])
+
+
+@reads(USAGE_START, RESOURCE, SERVICE, REGION)
+def with_places(totals: DataFrame, items: DataFrame, weeks: Weeks, k: int | None = 20) -> DataFrame:
+    """A row per total and (service, region) its resource was seen in, credits included."""
+    if k is not None and k <= BROADCAST_ROWS:
+        totals = F.broadcast(totals)
+    places = _used(items, weeks).select(
         F.col(RESOURCE).alias("resource_id"), F.col(SERVICE).alias("service"), F.col(REGION).alias("region")
     )
     current, previous = F.col("current_week_cost"), F.col("prev_week_cost")
@@ -74,7 +79,21 @@ def week_over_week(
             cost_trend(current, previous).alias("cost_trend"),
         )
     )
-    ordered = rows.orderBy(
-        *descending("week_over_week_change"), *ascending("resource_id", "service", "region")
-    )
-    return ordered if k is None else ordered.limit(k)
+    return top_k(rows, k, "week_over_week_change", ["resource_id", "service", "region"])
+
+
+@reads(*weekly_totals.columns, SERVICE, REGION)
+def week_over_week(items: DataFrame, weeks: Weeks, k: int | None = 20) -> DataFrame:
+    """Resources by growth of their cost from the previous week to the current one.
+
+    A row per (resource, service, region) seen from the previous start to the
+    current end; the costs are those of the whole resource, net of credits and
+    refunds, and repeat on each of its rows.
+
+    The totals take one aggregate per resource, combined map-side. As the order
+    depends on the resource only, the first k rows belong to the first k
+    resources, so only those are looked up in the table again: no group is
+    gathered in one task, and no join shuffles the table. Without a k all rows
+    come back, by a join that Spark plans.
+    """
+    return with_places(weekly_totals(items, weeks, k), items, weeks, k)

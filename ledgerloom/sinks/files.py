@@ -37,7 +37,6 @@ def write_text_files(df: DataFrame, key: str, text: str, path: str, mode: str =
     """
     (
         df.select(F.col(key), F.col(text).alias("value"))
-        .repartition(key)
         .write.mode(mode)
         .partitionBy(key)
         .text(path)

@@ -24,13 +24,8 @@ def register_table(
     table = f"{database}.{prefix}{name}"
     at = f" LOCATION '{location}'" if location else ""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}{at}")
-    found = read_merged_parquet(spark, path).schema
     if spark.catalog.tableExists(table):
-        known = spark.table(table).schema
-        added = [f for f in found if f.name not in known.names]
-        if added:
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in added)
-            spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({columns})")
+        _add_columns(spark, table, read_merged_parquet(spark, path).schema)
         spark.catalog.refreshTable(table)
     else:
         spark.catalog.createTable(table, path=path, source="parquet", schema=None, mergeSchema="true")
@@ -39,6 +34,24 @@ def register_table(
     return table
 
 
+def add_partition(spark: SparkSession, table: str, schema: T.StructType, column: str, value: int | str) -> None:
+    """Tell a table of one new partition folder, without looking at the others.
+
+    `schema` holds the columns of the new files; the table gets those it lacks.
+    """
+    _add_columns(spark, table, schema)
+    literal = str(value) if isinstance(value, int) else f"'{value}'"
+    spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS PARTITION (`{column}` = {literal})")
+    spark.catalog.refreshTable(table)
+
+
+def _add_columns(spark: SparkSession, table: str, found: T.StructType) -> None:
+    known = spark.table(table).schema.names
+    added = [f"`{f.name}` {f.dataType.simpleString()}" for f in found if f.name not in known]
+    if added:
+        spark.sql(f"ALTER TABLE {table} ADD COLUMNS ({', '.join(added)})")
+
+
 def _is_partitioned(spark: SparkSession, table: str) -> bool:
     return any(column.isPartition for column in spark.catalog.listColumns(table))
 

@@ -41,7 +41,7 @@ def _expressions(resource_key: str) -> dict[str, Column]:
     text_map = "map<string,string>"
     creator, priority = F.lit("user_creator"), F.lit("user_priority")
     return {
-        s.PERIOD: F.date_trunc("month", "l_shipdate").cast("date"),
+        s.PERIOD: F.trunc(F.to_date("l_shipdate"), "month"),
         s.USAGE_START: F.col("l_shipdate"),
         s.LINE_TYPE: F.when(F.col("l_returnflag") == "R", "Refund")
         .when(F.col("l_returnflag") == "A", "Credit")

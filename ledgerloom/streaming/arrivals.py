@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.sinks.files import dataset_name, decoded_key
-from ledgerloom.sources.catalog import register_table
+from ledgerloom.sources.catalog import add_partition, register_table
 from ledgerloom.sources.files import csv_options
 
 # Fixed value: ending of the files that start an ingest.
@@ -51,12 +51,21 @@ def ingest_stream(
     written twice. `dataset` names the input file and the time of the run.
     """
 
+    folder = output.rstrip("/").rsplit("/", 1)[-1]
+
+    def _catalogue(written: DataFrame, batch_id: int) -> None:
+        spark, table = written.sparkSession, f"{database}.{prefix}{folder}"
+        if spark.catalog.databaseExists(database) and spark.catalog.tableExists(table):
+            add_partition(spark, table, written.schema, "run", batch_id)
+        else:
+            register_table(spark, output, database, prefix)
+
     def write(batch: DataFrame, batch_id: int) -> None:
         time = F.lit(when) if when else F.current_timestamp()
         named = batch.withColumn("dataset", dataset_name(F.col("source_key"), time))
         named.write.mode("overwrite").parquet(f"{output.rstrip('/')}/run={batch_id}")
         if database:
-            register_table(batch.sparkSession, output, database, prefix)
+            _catalogue(named, batch_id)
 
     return (
         arrivals.writeStream.foreachBatch(write)
