@@ -103,8 +103,12 @@ def retype_strings(df: DataFrame) -> DataFrame:
 
     checks = []
     for i, name in enumerate(texts):
-        value = F.when(F.col(f"`{name}`") != "", F.col(f"`{name}`"))
-        checks += [F.bool_and(whole(value)).alias(f"whole_{i}"), F.bool_and(number(value)).alias(f"number_{i}")]
+        value = F.col(f"`{name}`")
+        filled = value != ""
+        checks += [
+            F.bool_and(F.when(filled, whole(value))).alias(f"whole_{i}"),
+            F.bool_and(F.when(filled, number(value))).alias(f"number_{i}"),
+        ]
     found = df.agg(*checks).first()
     types = {}
     for i, name in enumerate(texts):

@@ -1,0 +1,101 @@
+import hashlib
+from html.parser import HTMLParser
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.functions.html import html_to_text
+from ledgerloom.operators.sampling import sample_rows
+from ledgerloom.plans.corpus import page_texts, pages_to_corpus
+from ledgerloom.sinks.files import write_text_files
+from ledgerloom.sources.files import read_directory
+
+CASES = {
+    "plain": "plain",
+    "": "",
+    "a<b>c</b>d<br/>e": "acde",
+    "<head><title>t</title></head><header>h</header>": "h",
+    "x<script>if (a < b) { '</p>' }</script>y": "xy",
+    "x<STYLE type='a>b'>p{}</Style >y": "xy",
+    "x<script>never closed <b>": "x",
+    "x<!-- a <script> --> y</script>z": "x yz",
+    "<!DOCTYPE html><?php x ?>t": "t",
+    '<a title="1 > 0" href=it\'s>link</a>': "link",
+    "1 < 2 and 3 > 2": "1 < 2 and 3 > 2",
+    "a &amp; b &lt;c&gt; &quot;d&quot; &apos;e&apos;": "a & b <c> \"d\" 'e'",
+    "&amp;lt; stays once decoded": "&lt; stays once decoded",
+    "&eacute;&#233;&#xE9;&#128512;&nbsp;.": "ééé😀 .",
+    "&unknown; &; & &# &#x; AT&T": "&unknown; &; & &# &#x; AT&T",
+    "&#0; &#xD800; &#1114112;": "� � �",
+    "l1\nl2\n<p>\tl3</p>\n": "l1\nl2\n\tl3\n",
+    "<svg><title>in svg</title><text>seen</text></svg>": "seen",
+}
+
+
+@pytest.mark.parametrize("html", CASES)
+def test_html_to_text(spark, html):
+    df = spark.createDataFrame([(html,)], "html string")
+    assert df.select(html_to_text(F.col("html"))).first()[0] == CASES[html]
+
+
+def test_null_and_long_pages(spark):
+    long = "<p>" + "w &amp; " * 200_000 + "</p><script>" + "x" * 1_000_000 + "</script>end" + "<i a='b'>" * 20_000
+    df = spark.createDataFrame([(1, None), (2, long)], "id int, html string")
+    texts = {r[0]: r[1] for r in df.select("id", html_to_text(F.col("html"))).collect()}
+    assert texts == {1: None, 2: "w & " * 200_000 + "end"}
+
+
+class _Reader(HTMLParser):
+    """The same rules by a real parser."""
+
+    removed = {"script", "style", "head", "title"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.texts, self.inside = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.removed:
+            self.inside.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.inside:
+            while self.inside.pop() != tag:
+                pass
+
+    def handle_data(self, data):
+        if not self.inside:
+            self.texts.append(data)
+
+
+def test_same_as_a_parser_on_the_test_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    texts = {r["page_id"]: r["text"] for r in page_texts(pages).collect()}
+    for page in pages.collect():
+        reader = _Reader()
+        reader.feed(page["html"])
+        reader.close()
+        assert texts[page["page_id"]] == "".join(reader.texts)
+
+
+@pytest.mark.parametrize("n, total", [(0, 50), (1, 50), (10, 5000), (5000, 5000), (9999, 5000), (3, 0)])
+def test_sample_is_exact_and_repeats(spark, n, total):
+    df = spark.range(total).select(F.col("id").alias("page_id"), F.lit("x").alias("html"))
+    taken = [r["page_id"] for r in sample_rows(df, n, "page_id", 7).collect()]
+
+    def order(i):
+        return hashlib.md5(f"{i}:7".encode()).hexdigest()
+
+    assert taken == sorted(range(total), key=order)[:n]
+
+
+def test_corpus_files(spark, tmp_path):
+    pages = spark.createDataFrame(
+        [(i, "u", f"<p>page {i}</p>\n<b>x</b>") for i in range(30)], "page_id long, url string, html string"
+    )
+    texts = pages_to_corpus(pages, n=10, seed=3)
+    write_text_files(texts, "page_id", "text", str(tmp_path / "texts"))
+    files = read_directory(spark, str(tmp_path / "texts"), "*.txt").select("path", F.decode("content", "UTF-8"))
+    found = {int(r[0].split("page_id=")[1].split("/")[0]): r[1] for r in files.collect()}
+    assert len(found) == 10
+    assert all(text == f"page {i}\nx\n" for i, text in found.items())
