@@ -14,6 +14,8 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerloom.functions.arrays import bind
+
 # Elements whose content is no text.
 REMOVED_ELEMENTS = ("style", "script", "head", "title")
 
@@ -55,14 +57,14 @@ def decode_references(text: Column) -> Column:
             .otherwise(F.concat(F.try_element_at(names, name), after))
         )
 
-    pieces = F.split(text, "&", -1)
-    tail = F.transform(
-        F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-        lambda part: F.coalesce(decoded(part), F.concat(F.lit("&"), part)),
-    )
-    return F.when(
-        F.contains(text, F.lit("&")), F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
-    ).otherwise(text)
+    def joined(pieces):
+        tail = F.transform(
+            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
+            lambda part: F.coalesce(decoded(part), F.concat(F.lit("&"), part)),
+        )
+        return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
+
+    return bind(F.split(text, "&", -1), joined)
 
 
 def _character(code: Column) -> Column:

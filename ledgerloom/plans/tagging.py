@@ -298,17 +298,18 @@ def monthly_tagging_report(
     written. Returns the folder of each part written.
 
     The table is read once: its sums per resource and detail are kept while the
-    three parts are written.
+    parts are written, and so are the two reports made from them, which are
+    looked at more than once.
     """
     keys = (*_EXPENSIVE_KEYS, "tagged", "untagged", "specific_tag")
     sums = _flagged_usage(items, key, period).groupBy(*keys).agg(F.sum("cost").alias("cost")).persist()
+    distribution, expensive = _distribution(sums).persist(), _expensive(sums, k).persist()
     try:
-        distribution = _distribution(sums)
         parts = {
             "tagged_vs_untagged": _rendered(
                 distribution, ("total_cost", "tagged_cost", "untagged_cost", "specific_tag_cost")
             ),
-            "expensive_untagged": _rendered(_expensive(sums, k), ("cost",)),
+            "expensive_untagged": _rendered(expensive, ("cost",)),
             "summary": _rendered(
                 summarise(distribution),
                 (
@@ -327,4 +328,5 @@ def monthly_tagging_report(
                 written[name] = path
         return written
     finally:
-        sums.unpersist()
+        for kept in (distribution, expensive, sums):
+            kept.unpersist()

@@ -50,7 +50,7 @@ def decoded_key(key: Column) -> Column:
 
 def dataset_name(key: Column, when: Column) -> Column:
     """{file stem}_{yyyyMMddHHmmss}: the stem is the file name up to its first dot."""
-    stem = F.regexp_extract(key, r"([^/.]*)[^/]*$", 1)
+    stem = F.substring_index(F.substring_index(key, "/", -1), ".", 1)
     return F.concat(stem, F.lit("_"), F.date_format(when, "yyyyMMddHHmmss"))
 
 

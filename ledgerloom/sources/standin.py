@@ -14,6 +14,18 @@ from pyspark.sql import functions as F
 
 from ledgerloom import schema as s
 
+# The tables' columns in use. A given schema saves the job that
+# would read file footers to find it.
+TABLES = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_quantity double, l_extendedprice double, "
+    "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderpriority string",
+    "customer": "c_custkey bigint, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+}
+
 _AMOUNT = "decimal(18,2)"
 _FEE = "decimal(18,4)"
 
@@ -100,7 +112,7 @@ def cost_items(
     wanted = list(dict.fromkeys(columns))
 
     def table(name):
-        return spark.read.parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(TABLES[name]).parquet(f"{folder}/{name}.parquet")
 
     lines = table("lineitem")
     if start is not None:
