@@ -20,12 +20,14 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import oracle_queries
 from ledgerloom.functions.arrays import one_hot, parse_matrix
+from ledgerloom.functions.money import or_not_available, two_decimals
 from ledgerloom.functions.tags import tags_text
+from ledgerloom.operators.filters import dates_between
 from ledgerloom.operators.sampling import sample_rows, split_counts, train_test_split
 from ledgerloom.plans import corpus, cost, features, ingest, labels, models, tagging, trend
 from ledgerloom.schema import money_as_double
 from ledgerloom.session import scratch_dir
-from ledgerloom.sinks.files import write_csv, write_matrix, write_text_files
+from ledgerloom.sinks.files import dataset_name, decoded_key, write_csv, write_matrix, write_text_files
 from ledgerloom.sources.catalog import register_table, schema_report
 from ledgerloom.sources.files import read_directory
 from ledgerloom.sources.standin import cost_items
@@ -195,6 +197,31 @@ def _stream_ingest(spark, folder):
     return ingest.apply_mapping(ingested, ingested.columns, (*ORDER_TYPES, "int"))
 
 
+def _dataset_names(spark, folder):
+    """Page addresses as encoded object keys, decoded again, with the data set each would make."""
+    pages = _table(spark, folder, "pages").select("page_id", decoded_key(F.url_encode("url")).alias("key"))
+    return pages.withColumn("dataset", dataset_name(F.col("key"), F.lit(WHEN)))
+
+
+def _rendered_amounts(spark, folder):
+    return _table(spark, folder, "customer").select(
+        "c_custkey",
+        two_decimals(F.col("c_acctbal")).alias("balance"),
+        or_not_available(F.nullif(F.col("c_mktsegment"), F.lit("MACHINERY"))).alias("segment"),
+    )
+
+
+def _usage_between_dates(spark, folder):
+    """Events by day between two midnights: the second date counts only up to its start."""
+    within = dates_between("ts", dt.date(2024, 1, 2), dt.date(2024, 1, 28))
+    return (
+        _table(spark, folder, "events")
+        .where(within)
+        .groupBy(F.to_date("ts").alias("usage_date"))
+        .agg(F.count(F.lit(1)).alias("events"))
+    )
+
+
 # Pages
 
 
@@ -438,6 +465,9 @@ def queries() -> dict[str, Query]:
         "registered_table": _registered_table,
         "evolved_table": _evolved_table,
         "stream_ingest": _stream_ingest,
+        "dataset_names": _dataset_names,
+        "rendered_amounts": _rendered_amounts,
+        "usage_between_dates": _usage_between_dates,
         "page_texts": _page_texts,
         "pages_to_corpus": _pages_to_corpus,
         "page_sample": _page_sample,

@@ -69,15 +69,19 @@ def untagged_resources(items: DataFrame, period=None, k: int | None = 50) -> Dat
 def tag_inventory(items: DataFrame, period=None) -> DataFrame:
     """Resources and net cost of every (tag key, value); a row counts under each of its tags.
 
-    Two aggregates in place of a distinct count: the first, per resource, is
-    combined map-side, so a tag that a third of all rows carry stays spread out.
+    Rows are summed up per resource and tag map first, so that a row per hour
+    is not multiplied by its number of tags. Then two aggregates stand in for a
+    distinct count: the one per resource is combined map-side, so a tag that a
+    third of all rows carry stays spread out.
     """
+    per_map = (
+        non_empty(net_of_credits(in_period(items, period)), RESOURCE).groupBy(RESOURCE, TAGS).agg(F.sum(COST).alias("cost"))
+    )
     per_resource = (
-        non_empty(net_of_credits(in_period(items, period)), RESOURCE)
-        .select(F.explode(TAGS).alias("tag_key", "tag_value"), RESOURCE, COST)
+        per_map.select(F.explode(TAGS).alias("tag_key", "tag_value"), RESOURCE, "cost")
         .where(F.col("tag_value") != "")
         .groupBy("tag_key", "tag_value", RESOURCE)
-        .agg(F.sum(COST).alias("cost"))
+        .agg(F.sum("cost").alias("cost"))
     )
     return (
         per_resource.groupBy("tag_key", "tag_value")

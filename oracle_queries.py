@@ -257,6 +257,12 @@ def _ingest() -> dict[str, str]:
           UNION ALL SELECT 4, 'o_totalprice', 'double', records FROM t
           UNION ALL SELECT 5, 'o_orderdate', 'timestamp', records FROM t
           UNION ALL SELECT 6, 'o_orderpriority', 'string', records FROM t""",
+        "dataset_names": """SELECT page_id, url AS key,
+            split_part(list_last(string_split(url, '/')), '.', 1) || '_20240131123000' AS dataset FROM pages""",
+        "rendered_amounts": """SELECT c_custkey, CAST(CAST(c_acctbal AS DECIMAL(38,2)) AS VARCHAR) AS balance,
+            CASE WHEN c_mktsegment = 'MACHINERY' THEN 'N/A' ELSE c_mktsegment END AS segment FROM customer""",
+        "usage_between_dates": """SELECT CAST(ts AS DATE) AS usage_date, count(*) AS events FROM events
+          WHERE ts BETWEEN DATE '2024-01-02' AND DATE '2024-01-28' GROUP BY 1""",
         "evolved_table": """SELECT o_orderkey, o_orderstatus,
             CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority,
             CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS part FROM orders""",

@@ -4,7 +4,8 @@ import pytest
 from conftest import APRIL, MAY
 
 from ledgerloom.plans import cost
-from ledgerloom.schema import COST_ITEM_SCHEMA, MONEY, money_as_double, normalise_costs
+from ledgerloom.schema import COST_ITEM_SCHEMA, MONEY, PERIOD, money_as_double, normalise_costs
+from ledgerloom.sources.catalog import register_table
 
 
 def test_credits_refunds_and_missing_types_do_not_count(make_items, rows):
@@ -125,3 +126,23 @@ def test_reports_name_the_columns_they_read(make_items):
 def test_k_is_optional(make_items, rows, k, n):
     items = make_items(*[{"service": s} for s in "abcd"])
     assert len(rows(cost.cost_by_service(items, MAY, k=k))) == n
+
+
+def test_a_stored_table_is_pruned_by_period_and_open_to_sql(spark, make_items, rows, tmp_path):
+    path = str(tmp_path / "data")
+    items = make_items({"cost": 1}, {"cost": 2, "period": APRIL}, {"cost": 4, "service": "disk"})
+    items.write.partitionBy(PERIOD).parquet(path)
+    table = spark.table(register_table(spark, path, "billing", "cur_"))
+    report = cost.cost_by_service(table, MAY)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bill_billing_period_start_date" in plan
+    assert rows(report) == [(MAY, "disk", 4.0), (MAY, "compute", 1.0)]
+    by_sql = spark.sql(
+        """SELECT bill_billing_period_start_date AS billing_period, line_item_product_code AS service,
+             sum(line_item_unblended_cost) AS total_cost
+           FROM billing.cur_data
+           WHERE bill_billing_period_start_date = :period AND line_item_line_item_type NOT IN ('Credit', 'Refund')
+           GROUP BY ALL ORDER BY total_cost DESC""",
+        args={"period": MAY},
+    )
+    assert rows(by_sql) == rows(report)

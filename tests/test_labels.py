@@ -59,3 +59,10 @@ def test_response_items(spark):
     df = spark.createDataFrame([("a", [(f"t{i}", 96.0 + i / 2) for i in range(8)], 9)], RESPONSES)
     rows = sorted(tuple(r) for r in labels.response_items(df).collect())
     assert rows == [("a", f"t{i}", Decimal(str(96 + i / 2)), 9) for i in range(3, 8)]
+
+
+def test_many_labels_per_image(spark):
+    data = [("hot", f"t{i}", float(i), i) for i in range(1500)] + [("cold", "t", 99.0, 1)]
+    df = spark.createDataFrame(data, ROWS)
+    kept = labels.label_items(df, max_labels=1200, min_confidence=100.0)
+    assert sorted(r["seq"] for r in kept.collect()) == list(range(300, 1500))
