@@ -289,7 +289,7 @@ def _response_items(spark, folder):
 def _label_upsert_stream(spark, folder):
     path = scratch_dir(spark, "labels")
     schema = _table(spark, folder, "events").schema
-    arrivals = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+    arrivals = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
     upsert_stream(
         _label_rows(arrivals), f"{path}/table", f"{path}/checkpoint", labels.KEYS, "seq", labels.label_items
     ).awaitTermination()

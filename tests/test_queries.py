@@ -41,7 +41,9 @@ def _plan(spark, name):
 
 
 REPORTS = sorted(
-    name for name in driver.queries() if re.match("cost|daily|reservation|savings|usage|tag|untagged|expensive|service|month_|week", name)
+    name
+    for name in driver.queries()
+    if re.match("cost|daily|reservation|savings|usage_and|tag|untagged|expensive|service|month_|week", name)
 )
 
 
