@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import pickle
 import sys
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +32,7 @@ from ledgerloom.schema import money_as_double
 from ledgerloom.session import scratch_dir
 from ledgerloom.sinks.files import dataset_name, decoded_key, write_csv, write_matrix, write_text_files
 from ledgerloom.sources.catalog import register_table, schema_report
-from ledgerloom.sources.files import read_directory
+from ledgerloom.sources.files import decode_image_batches, read_directory
 from ledgerloom.sources.standin import cost_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
 from ledgerloom.streaming.upserts import current_rows, upsert_stream
@@ -313,6 +316,20 @@ def _cells(df: DataFrame, array: str, *keys: str) -> DataFrame:
     )
 
 
+def _pickled(frames):
+    for frame in frames:
+        data = np.array(frame["pixels"].tolist(), dtype="uint8")
+        batch = {b"data": data, b"labels": [int(x) for x in frame["label"]]}
+        yield pd.DataFrame({"path": ["images/data_batch_1"], "content": [pickle.dumps(batch)]})
+
+
+def _image_batches(spark, folder):
+    """Images put into pickled batch files, one per Arrow batch, and read out of them."""
+    files = _images(spark, folder).mapInPandas(_pickled, "path string, content binary")
+    pixels = F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels")
+    return decode_image_batches(files).select("split", "label", pixels)
+
+
 def _prepare_images(spark, folder):
     return _cells(features.prepare_images(_images(spark, folder), SMALL_IMAGE), "pixels", "vec_id")
 
@@ -476,6 +493,7 @@ def queries() -> dict[str, Query]:
         "label_listing": _label_listing,
         "response_items": _response_items,
         "label_upsert_stream": _label_upsert_stream,
+        "image_batches": _image_batches,
         "prepare_images": _prepare_images,
         "one_hot_labels": _one_hot_labels,
         "augment_images": _augment_images,

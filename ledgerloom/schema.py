@@ -62,6 +62,9 @@ def normalise_costs(items: DataFrame, money: T.DecimalType = MONEY) -> DataFrame
     """Give an exported cost table the types the reports expect.
 
     Measures become decimals and the billing period a date; other columns stay.
+    Sums have ten more digits than `money`; a type of up to 8 digits is summed
+    as a long, where single amounts are that small. Amounts that do not fit are
+    an error in Spark's default ANSI mode.
     """
     casts = {name: F.col(name).cast(money) for name in MEASURES if name in items.columns}
     if PERIOD in items.columns and items.schema[PERIOD].dataType != T.DateType():

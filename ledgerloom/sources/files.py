@@ -109,9 +109,17 @@ def read_image_batches(spark: SparkSession, path: str) -> DataFrame:
     """Pickled image batches as (split, path, position, pixels, label).
 
     Files named *data_batch* are training data, *test_batch* test data; others
-    are left out. Each task decodes whole files and sends rows on in pieces.
+    are left out.
     """
-    name = F.element_at(F.split("path", "/"), -1)
+    return decode_image_batches(read_directory(spark, path))
+
+
+def decode_image_batches(files: DataFrame) -> DataFrame:
+    """The images of a table of batch files (path, content).
+
+    Each task decodes whole files and sends their rows on in pieces.
+    """
+    name = F.substring_index("path", "/", -1)
     split = F.when(name.contains(TRAIN_BATCH_MARK), "train").when(name.contains(TEST_BATCH_MARK), "test")
-    files = read_directory(spark, path).withColumn("split", split).where("split is not null")
-    return files.select("split", "path", "content").mapInPandas(_unpickled_rows, _BATCH_SCHEMA)
+    batches = files.withColumn("split", split).where("split is not null").select("split", "path", "content")
+    return batches.mapInPandas(_unpickled_rows, _BATCH_SCHEMA)

@@ -26,7 +26,9 @@ TABLES = {
     "nation": "n_nationkey int, n_name string",
 }
 
-_AMOUNT = "decimal(18,2)"
+# Amounts are below a million. Spark sums decimals of up to 8 digits as longs,
+# which takes a third of the time of wider ones.
+_AMOUNT = "decimal(8,2)"
 _FEE = "decimal(18,4)"
 
 _OF_PART = {s.SERVICE, s.USAGE_TYPE, s.INSTANCE_TYPE, s.PRODUCT}

@@ -332,6 +332,8 @@ def _features() -> dict[str, str]:
         return f"CAST(CAST('0x' || substr(h, {start}, 8) AS BIGINT) % {n} AS INTEGER)"
 
     return {
+        "image_batches": f"""WITH {images}
+          SELECT 'train' AS split, label, array_to_string(p, ',') AS pixels FROM images""",
         # Cell i of the interleaved image is channel i % 4 of pixel i // 4.
         "prepare_images": f"""WITH {images}
           SELECT vec_id, CAST(i AS INTEGER) AS position,
