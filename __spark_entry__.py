@@ -203,7 +203,7 @@ def _stream_ingest(spark, folder):
 def _dataset_names(spark, folder):
     """Page addresses as encoded object keys, decoded again, with the data set each would make."""
     pages = _table(spark, folder, "pages").select("page_id", decoded_key(F.url_encode("url")).alias("key"))
-    return pages.withColumn("dataset", dataset_name(F.col("key"), F.lit(WHEN)))
+    return pages.withColumn("dataset", dataset_name(F.col("key"), WHEN))
 
 
 def _rendered_amounts(spark, folder):

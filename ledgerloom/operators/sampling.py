@@ -11,25 +11,24 @@ _PREFIX_DIGITS = 5
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int) -> DataFrame:
-    """Exactly n rows (all if there are fewer), chosen by the hash of their key.
+    """Exactly n rows (all if there are fewer), chosen by the hash of their unique key.
 
-    Sorting all hashes to keep n would send n whole rows of every partition to
-    one task. A histogram over hash prefixes (at most 16^5 groups) gives the
-    prefix below which n hashes lie; only rows up to it are sorted.
+    Sorting all rows to keep n would send n whole rows of every partition to
+    one task. Here two passes over the key alone find the n-th smallest hash,
+    and the rows up to it are filtered in place: a histogram over hash prefixes
+    (at most 16^5 groups) gives the prefix that holds it, and only the hashes
+    with that prefix are ranked.
     """
-    hashed = df.withColumn("_hash", keyed_hash(F.col(key), seed))
+    keys = df.select(F.col(key).alias("_key"), keyed_hash(F.col(key), seed).alias("_hash"))
     prefix = F.substring("_hash", 1, _PREFIX_DIGITS)
-    counts = hashed.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
-    running = counts.withColumn(
-        "_before", F.sum("_rows").over(Window.orderBy("_prefix")) - F.col("_rows")
-    )
-    last_prefix = running.where(F.col("_before") < n).agg(F.max("_prefix"))
-    return (
-        hashed.where(prefix <= last_prefix.scalar())
-        .orderBy("_hash", key)
-        .limit(n)
-        .drop("_hash")
+    counts = keys.groupBy(prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = F.sum("_rows").over(Window.orderBy("_prefix")) - F.col("_rows")
+    cut = counts.withColumn("_before", before).where(F.col("_before") < n).orderBy(F.desc("_prefix")).limit(1)
+    ranked = keys.join(F.broadcast(cut), prefix == F.col("_prefix")).withColumn(
+        "_rank", F.row_number().over(Window.orderBy("_hash", "_key"))
     )
+    last = ranked.where(F.col("_before") + F.col("_rank") <= n).agg(F.max(F.struct("_hash", "_key")))
+    return df.where(F.struct(keyed_hash(F.col(key), seed), F.col(key)) <= last.scalar())
 
 
 def train_test_split(df: DataFrame, key: str, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:

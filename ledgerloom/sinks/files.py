@@ -48,10 +48,11 @@ def decoded_key(key: Column) -> Column:
     return F.coalesce(F.try_url_decode(key), key)
 
 
-def dataset_name(key: Column, when: Column) -> Column:
+def dataset_name(key: Column, when: dt.datetime | Column) -> Column:
     """{file stem}_{yyyyMMddHHmmss}: the stem is the file name up to its first dot."""
     stem = F.substring_index(F.substring_index(key, "/", -1), ".", 1)
-    return F.concat(stem, F.lit("_"), F.date_format(when, "yyyyMMddHHmmss"))
+    time = F.lit(f"{when:%Y%m%d%H%M%S}") if isinstance(when, dt.datetime) else F.date_format(when, "yyyyMMddHHmmss")
+    return F.concat(stem, F.lit("_"), time)
 
 
 def dataset_path(root: str, key: str, when: dt.datetime) -> str:

@@ -61,8 +61,7 @@ def ingest_stream(
             register_table(spark, output, database, prefix)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        time = F.lit(when) if when else F.current_timestamp()
-        named = batch.withColumn("dataset", dataset_name(F.col("source_key"), time))
+        named = batch.withColumn("dataset", dataset_name(F.col("source_key"), when or F.current_timestamp()))
         named.write.mode("overwrite").parquet(f"{output.rstrip('/')}/run={batch_id}")
         if database:
             _catalogue(named, batch_id)

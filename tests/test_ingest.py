@@ -84,9 +84,10 @@ def test_apply_mapping_is_positional(spark):
 def test_dataset_names(spark):
     keys = [("in/my+file%28a%29.v1.csv", "my file(a)"), ("plain", "plain"), ("x/100%.csv", "100%"), ("a/.csv", "")]
     df = spark.createDataFrame(keys, "key string, stem string")
-    name = dataset_name(decoded_key(F.col("key")), F.lit(WHEN))
-    for row in df.select("key", "stem", name.alias("name")).collect():
-        assert row["name"] == f"{row['stem']}_20250503010203"
+    for when in (WHEN, F.lit(WHEN)):
+        name = dataset_name(decoded_key(F.col("key")), when)
+        for row in df.select("stem", name.alias("name")).collect():
+            assert row["name"] == f"{row['stem']}_20250503010203"
     assert dataset_path("s3://b/", "in/x.y.csv", WHEN) == "s3://b/data/x_20250503010203"
 
 
