@@ -404,7 +404,8 @@ def _json_matrix(spark, folder):
 def _trained(spark, folder) -> tuple[models.BoostedTrees, DataFrame]:
     """A model that went through its files, and the test part."""
     split = train_test_split(_measures(spark, folder), "l_orderkey")
-    model = models.train_boosted_trees(split.where("split = 'train'"), 3, params=TREE_PARAMS)
+    cores = spark.sparkContext.defaultParallelism
+    model = models.train_boosted_trees(split.where("split = 'train'"), 3, params=TREE_PARAMS, partitions=cores)
     path = scratch_dir(spark, "model")
     model.save(path)
     return models.load_model(spark, path, 3), split.where("split = 'test'")
@@ -432,7 +433,8 @@ def _model_metrics(spark, folder):
 def _binary_model_metrics(spark, folder):
     split = train_test_split(_measures(spark, folder), "l_orderkey")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    model = models.train_boosted_trees(train, 2, label="is_final", params=BINARY_TREE_PARAMS)
+    cores = spark.sparkContext.defaultParallelism
+    model = models.train_boosted_trees(train, 2, label="is_final", params=BINARY_TREE_PARAMS, partitions=cores)
     return models.evaluate(model.transform(test), "is_final")
 
 

@@ -81,10 +81,16 @@ def train_boosted_trees(
     label: str = "label",
     params: dict | None = None,
     seed: int = 42,
+    partitions: int | None = None,
 ) -> BoostedTrees:
-    """Train on an array column of features and labels 0..classes-1."""
+    """Train on an array column of features and labels 0..classes-1.
+
+    Training reads the data many times. Where it comes in fewer or more uneven
+    partitions than there are cores, `partitions` spreads it once beforehand.
+    """
     params = LOCAL_PARAMS if params is None else params
-    data = df.select(array_to_vector(F.col(features)).alias("features"), F.col(label).alias("_label")).persist()
+    data = df.select(array_to_vector(F.col(features)).alias("features"), F.col(label).alias("_label"))
+    data = (data if partitions is None else data.repartition(partitions)).persist()
     try:
         targets = [1] if classes == 2 else range(classes)
         models = []

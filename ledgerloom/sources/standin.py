@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import schema as s
@@ -27,7 +27,7 @@ TABLES = {
 }
 
 # Amounts are below a million. Spark sums decimals of up to 8 digits as longs,
-# which takes a third of the time of wider ones.
+# which takes less than half the time of wider ones.
 _AMOUNT = "decimal(8,2)"
 _FEE = "decimal(18,4)"
 
@@ -36,62 +36,49 @@ _OF_NATION = {s.REGION, s.PRODUCT}
 _OF_ORDER = {s.TAGS}
 
 
-def _fee(price: str, rate: str) -> Column:
-    return (F.col(price).cast(_AMOUNT) * F.col(rate).cast(_AMOUNT)).cast(_FEE)
+def _amount(column: str) -> str:
+    return f"CAST({column} AS {_AMOUNT})"
 
 
-def _resource_id(key: str) -> Column:
-    ending = F.when(F.col(key) % 19 == 0, "-management").when(F.col(key) % 23 == 0, "-overhead").otherwise("")
-    return F.when(F.col(key) % 17 == 0, "").otherwise(F.concat(F.lit("res-"), F.col(key).cast("string"), ending))
+def _fee(price: str, rate: str) -> str:
+    return f"CAST({_amount(price)} * {_amount(rate)} AS {_FEE})"
 
 
-def _numbered(prefix: str, every: int) -> Column:
-    number = F.concat(F.lit(prefix), F.col("l_suppkey").cast("string"))
-    return F.when(F.col("l_suppkey") % every == 0, number).otherwise("")
+def _numbered(prefix: str, every: int) -> str:
+    return f"IF(l_suppkey % {every} = 0, '{prefix}' || l_suppkey, '')"
 
 
-def _expressions(resource_key: str) -> dict[str, Column]:
-    instance_type = F.when(F.col("p_size") % 5 == 0, "").otherwise(F.col("p_size").cast("string"))
-    text_map = "map<string,string>"
-    creator, priority = F.lit("user_creator"), F.lit("user_priority")
+def _expressions(resource_key: str) -> dict[str, str]:
+    """The cost columns as SQL expressions on the joined tables."""
+    key, instance_type = resource_key, "IF(p_size % 5 = 0, '', CAST(p_size AS string))"
+    ending = f"CASE WHEN {key} % 19 = 0 THEN '-management' WHEN {key} % 23 = 0 THEN '-overhead' ELSE '' END"
     return {
-        s.PERIOD: F.trunc(F.to_date("l_shipdate"), "month"),
-        s.USAGE_START: F.col("l_shipdate"),
-        s.LINE_TYPE: F.when(F.col("l_returnflag") == "R", "Refund")
-        .when(F.col("l_returnflag") == "A", "Credit")
-        .when(F.col("l_returnflag") == "N", "Usage"),
-        s.SERVICE: F.col("p_brand"),
-        s.USAGE_TYPE: F.col("p_type"),
+        s.PERIOD: "trunc(to_date(l_shipdate), 'month')",
+        s.USAGE_START: "l_shipdate",
+        s.LINE_TYPE: "CASE l_returnflag WHEN 'R' THEN 'Refund' WHEN 'A' THEN 'Credit' WHEN 'N' THEN 'Usage' END",
+        s.SERVICE: "p_brand",
+        s.USAGE_TYPE: "p_type",
         s.INSTANCE_TYPE: instance_type,
-        s.RESOURCE: _resource_id(resource_key),
-        s.REGION: F.col("n_name"),
-        s.OPERATION: F.col("l_linestatus"),
-        s.USAGE_AMOUNT: F.col("l_quantity").cast(_AMOUNT),
-        s.COST: F.col("l_extendedprice").cast(_AMOUNT),
+        s.RESOURCE: f"IF({key} % 17 = 0, '', 'res-' || {key} || {ending})",
+        s.REGION: "n_name",
+        s.OPERATION: "l_linestatus",
+        s.USAGE_AMOUNT: _amount("l_quantity"),
+        s.COST: _amount("l_extendedprice"),
         s.RESERVATION: _numbered("ri-", 5),
-        s.RESERVATION_COST: F.col("l_extendedprice").cast(_AMOUNT),
+        s.RESERVATION_COST: _amount("l_extendedprice"),
         s.RESERVATION_UNUSED_UPFRONT: _fee("l_extendedprice", "l_discount"),
         s.RESERVATION_UNUSED_RECURRING: _fee("l_extendedprice", "l_tax"),
         s.PLAN: _numbered("sp-", 7),
-        s.PLAN_COST: F.col("l_extendedprice").cast(_AMOUNT),
+        s.PLAN_COST: _amount("l_extendedprice"),
         s.PLAN_COMMITMENT: _fee("l_extendedprice", "l_quantity"),
         s.PLAN_USED: _fee("l_quantity", "l_discount"),
-        s.PLAN_RATE: F.col("l_discount").cast(_AMOUNT),
+        s.PLAN_RATE: _amount("l_discount"),
         s.PLAN_UPFRONT: _fee("l_quantity", "l_tax"),
-        s.TAGS: F.when(F.col("l_partkey") % 3 == 0, F.create_map().cast(text_map))
-        .when(
-            F.col("l_partkey") % 3 == 1,
-            F.create_map(creator, F.col("c_mktsegment"), priority, F.col("o_orderpriority")),
-        )
-        .otherwise(F.create_map(priority, F.col("o_orderpriority"))),
-        s.PRODUCT: F.create_map(
-            F.lit("product_name"),
-            F.col("p_name"),
-            F.lit("instance_type"),
-            instance_type,
-            F.lit("region"),
-            F.col("n_name"),
-        ),
+        s.TAGS: """CASE l_partkey % 3
+            WHEN 0 THEN CAST(map() AS map<string,string>)
+            WHEN 1 THEN map('user_creator', c_mktsegment, 'user_priority', o_orderpriority)
+            ELSE map('user_priority', o_orderpriority) END""",
+        s.PRODUCT: f"map('product_name', p_name, 'instance_type', {instance_type}, 'region', n_name)",
     }
 
 
@@ -122,12 +109,12 @@ def cost_items(
     if end is not None:
         lines = lines.where(F.col("l_shipdate") < F.lit(end))
     if _OF_PART.intersection(wanted):
-        lines = lines.join(table("part"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        lines = lines.join(table("part"), F.expr("l_partkey = p_partkey"), "left")
     if _OF_NATION.intersection(wanted):
-        places = table("supplier").join(table("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left")
-        lines = lines.join(places, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        places = table("supplier").join(table("nation"), F.expr("s_nationkey = n_nationkey"), "left")
+        lines = lines.join(places, F.expr("l_suppkey = s_suppkey"), "left")
     if _OF_ORDER.intersection(wanted):
-        orders = table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-        lines = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+        orders = table("orders").join(table("customer"), F.expr("o_custkey = c_custkey"), "left")
+        lines = lines.join(orders, F.expr("l_orderkey = o_orderkey"), "left")
     expressions = _expressions(resource_key)
-    return lines.select(*[expressions[name].alias(name) for name in wanted])
+    return lines.selectExpr(*[f"{expressions[name]} AS {name}" for name in wanted])
