@@ -15,13 +15,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.arrays import parse_matrix, softmax
 
-# The local and the cloud training setups.
+# The local and the cloud training setups. `gamma` is the least
+# loss reduction of a split, summed over all rows.
 LOCAL_PARAMS = {"stepSize": 0.3, "maxDepth": 3, "maxIter": 20}
 CLOUD_PARAMS = {
     "stepSize": 0.2,
     "maxDepth": 5,
     "maxIter": 100,
-    "minInfoGain": 4.0,
+    "gamma": 4.0,
     "minInstancesPerNode": 6,
     "subsamplingRate": 0.8,
 }
@@ -85,13 +86,17 @@ def train_boosted_trees(
 ) -> BoostedTrees:
     """Train on an array column of features and labels 0..classes-1.
 
+    `params` are those of GBTClassifier, and `gamma`: Spark's gain of a split is
+    a mean over rows, so it is compared with gamma divided by their number.
     Training reads the data many times. Where it comes in fewer or more uneven
     partitions than there are cores, `partitions` spreads it once beforehand.
     """
-    params = LOCAL_PARAMS if params is None else params
+    params = dict(LOCAL_PARAMS if params is None else params)
     data = df.select(array_to_vector(F.col(features)).alias("features"), F.col(label).alias("_label"))
     data = (data if partitions is None else data.repartition(partitions)).persist()
     try:
+        if "gamma" in params:
+            params["minInfoGain"] = params.pop("gamma") / max(data.count(), 1)
         targets = [1] if classes == 2 else range(classes)
         models = []
         for target in targets:

@@ -19,14 +19,24 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
+# For terabytes: start with many shuffle partitions and let AQE merge them to
+# this size, so that none outgrows the memory of a task.
+CLUSTER_SETTINGS = {
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+}
+
 
-def build_session(app_name: str = "ledgerloom", master: str | None = None, **settings) -> SparkSession:
+def build_session(
+    app_name: str = "ledgerloom", master: str | None = None, cluster: bool = False, **settings
+) -> SparkSession:
     """A session with the library's settings; `settings` use __ for dots in names."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     extra = {name.replace("__", "."): str(value) for name, value in settings.items()}
-    for name, value in {**SETTINGS, **extra}.items():
+    for name, value in {**SETTINGS, **(CLUSTER_SETTINGS if cluster else {}), **extra}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 

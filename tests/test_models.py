@@ -56,6 +56,13 @@ def test_two_classes_take_one_model(spark, flowers, tmp_path):
     assert models.load_model(spark, str(tmp_path / "m"), 2).classes == 2
 
 
+def test_the_cloud_setup_learns(flowers):
+    two = flowers.withColumn("label", (F.col("label") == 2).cast("int"))
+    model = models.train_boosted_trees(two, 2, params={**models.CLOUD_PARAMS, "maxIter": 4}, partitions=2)
+    assert models.CLOUD_PARAMS["gamma"] == 4.0
+    assert models.evaluate(model.transform(two)).first()["accuracy"] > 0.95
+
+
 def test_requests_are_scored_row_by_row(spark, flowers, model):
     sample = [r["features"] for r in flowers.orderBy("id").limit(4).collect()]
     bodies = [(1, json.dumps({"data": sample[:3]})), (2, json.dumps({"data": [sample[3]]})), (3, "{broken"), (4, '{"data": []}')]
