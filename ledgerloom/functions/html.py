@@ -3,13 +3,13 @@
 Follows a lenient parser: comments, declarations and the removed elements
 disappear with their content, an unclosed removed element runs to the end of
 the text, all other tags go and their text stays, character references are
-decoded once. Not followed: references without a semicolon, and names that
-only HTML 5 added.
+decoded once. A reference may lack its semicolon where its name ends anyway;
+an unknown one stays as it is.
 """
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,6 +29,16 @@ _DROPPED = (
 )
 _TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}>"
 
+_REFERENCE = "^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*)"
+
+# All names of HTML 5, the usual ones first: a lookup tries them in turn.
+_NAMES = {
+    name: html5[f"{name};"]
+    for name in ["amp", "quot", "lt", "gt", "nbsp", "apos", *name2codepoint, *(n.rstrip(";") for n in html5)]
+}
+# Numbers of control characters mean those of windows-1252.
+_CONTROLS = {str(n): bytes([n]).decode("windows-1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
 
 def html_to_text(html: Column) -> Column:
     """The text of an HTML page."""
@@ -38,36 +48,30 @@ def html_to_text(html: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """Replace character references such as &amp;, &#233; and &#xe9;."""
-    names = F.create_map(
-        *[F.lit(part) for name, code in sorted(name2codepoint.items()) for part in (name, chr(code))],
-        F.lit("apos"),
-        F.lit("'"),
-    )
+    names, controls = _constant_map(_NAMES), _constant_map(_CONTROLS)
+
+    def character(reference):
+        hexadecimal = F.regexp_extract(reference, "^#[xX]0*([0-9a-fA-F]*)$", 1)
+        from_hexadecimal = F.when(F.length(hexadecimal) <= 6, F.conv(hexadecimal, 16, 10).cast("int"))
+        is_decimal = F.substr(reference, F.lit(2)).rlike("^[0-9]+$")
+        code = F.when(is_decimal, F.substr(reference, F.lit(2)).try_cast("int")).otherwise(from_hexadecimal)
+        valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        known = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(controls, code.cast("string")), known, F.lit("\ufffd"))
 
     def decoded(part):
-        name = F.regexp_extract(part, r"^([A-Za-z][A-Za-z0-9]*);", 1)
-        decimal = F.regexp_extract(part, r"^#([0-9]{1,7});", 1)
-        hexadecimal = F.regexp_extract(part, r"^#[xX]([0-9a-fA-F]{1,6});", 1)
-        code = F.when(decimal != "", decimal.cast("int")).when(
-            hexadecimal != "", F.conv(hexadecimal, 16, 10).cast("int")
-        )
-        after = F.substr(part, F.instr(part, ";") + 1)
-        return (
-            F.when(part.startswith("#"), F.concat(_character(code), after))
-            .otherwise(F.concat(F.try_element_at(names, name), after))
-        )
+        reference = F.regexp_extract(part, _REFERENCE, 1)
+        value = F.when(reference.startswith("#"), character(reference)).otherwise(F.try_element_at(names, reference))
+        after = F.regexp_replace(F.substr(part, F.length(reference) + 1), "^;", "")
+        return F.coalesce(F.concat(value, after), F.concat(F.lit("&"), part))
 
     def joined(pieces):
-        tail = F.transform(
-            F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
-            lambda part: F.coalesce(decoded(part), F.concat(F.lit("&"), part)),
-        )
+        tail = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), decoded)
         return F.concat(F.get(pieces, F.lit(0)), F.array_join(tail, ""))
 
     return bind(F.split(text, "&", -1), joined)
 
 
-def _character(code: Column) -> Column:
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    known = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, code)), 8, "0")), "UTF-32")
-    return F.when(code.isNotNull(), F.coalesce(known, F.lit("�")))
+def _constant_map(entries: dict[str, str]) -> Column:
+    """A map of text as one constant."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in entries.items())), F.lit("\x02"), F.lit("\x01"))

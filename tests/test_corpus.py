@@ -25,8 +25,10 @@ CASES = {
     "a &amp; b &lt;c&gt; &quot;d&quot; &apos;e&apos;": "a & b <c> \"d\" 'e'",
     "&amp;lt; stays once decoded": "&lt; stays once decoded",
     "&eacute;&#233;&#xE9;&#128512;&nbsp;.": "ééé😀 .",
-    "&unknown; &; & &# &#x; AT&T": "&unknown; &; & &# &#x; AT&T",
-    "&#0; &#xD800; &#1114112;": "� � �",
+    "&unknown; &; & &# &#x; AT&T x&y=1": "&unknown; &; & &# &#x; AT&T x&y=1",
+    "&copy 2020&ndash;21 &eacute&egrave &#233&#xe9 &copyright": "© 2020–21 éè éé &copyright",
+    "&hearts;&NotEqualTilde;&bigstar;&#150;&#x80;&#129;": "♥≂̸★–€\x81",
+    "&#0; &#xD800; &#1114112; &#99999999999; &#xFFFFFFFFFFFFFFFFFFFF; &#x00041;": "� � � � � A",
     "l1\nl2\n<p>\tl3</p>\n": "l1\nl2\n\tl3\n",
     "<svg><title>in svg</title><text>seen</text></svg>": "seen",
 }
