@@ -31,8 +31,8 @@ from ledgerloom.plans import corpus, cost, features, ingest, labels, models, tag
 from ledgerloom.schema import money_as_double
 from ledgerloom.session import scratch_dir
 from ledgerloom.sinks.files import dataset_name, decoded_key, write_csv, write_matrix, write_text_files
-from ledgerloom.sources.catalog import register_table, schema_report
-from ledgerloom.sources.files import decode_image_batches, read_directory
+from ledgerloom.sources.catalog import register_table, schema_changes, schema_report
+from ledgerloom.sources.files import decode_image_batches, infer_csv_schema, read_directory
 from ledgerloom.sources.standin import cost_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
 from ledgerloom.streaming.upserts import current_rows, upsert_stream
@@ -145,6 +145,13 @@ def _schema_report(spark, folder):
     return schema_report(spark.read.parquet(done.path)).withColumn("records", F.lit(done.rows).cast("bigint"))
 
 
+def _schema_changes(spark, folder):
+    """Types found in all values of a CSV export against those of the table it came from."""
+    found = infer_csv_schema(spark, _orders_as_csv(spark, folder))
+    orders = _table(spark, folder, "orders").drop("o_orderstatus").withColumn("o_note", F.lit("none"))
+    return schema_changes(spark, found, orders.schema)
+
+
 def _misfit_rows(spark, folder):
     """Orders written next to lines of other tables: misfits are kept whole."""
     source = scratch_dir(spark, "mixed-csv")
@@ -430,6 +437,22 @@ def _model_metrics(spark, folder):
     return models.evaluate(model.transform(test))
 
 
+def _evaluation(spark, folder):
+    """The metrics of probabilities that follow from the discount, for an exact comparison."""
+    lines = _table(spark, folder, "lineitem").select(
+        (F.array_position(F.array(F.lit("A"), F.lit("N"), F.lit("R")), F.col("l_returnflag")) - 1).alias("label"),
+        F.array(0.8 - F.col("l_discount"), 0.1 + F.col("l_discount"), F.lit(0.1)).alias("probabilities"),
+        (F.col("l_linenumber") % 3).cast("double").alias("prediction"),
+    )
+    metrics = models.evaluate(lines)
+    return metrics.select("rows", F.round("loss", 9).alias("loss"), F.round("accuracy", 9).alias("accuracy"))
+
+
+def _rounded_predictions(spark, folder):
+    halves = F.bround(F.col("l_quantity") / 2)
+    return _table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", halves.alias("result"))
+
+
 def _binary_model_metrics(spark, folder):
     split = train_test_split(_measures(spark, folder), "l_orderkey")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
@@ -480,6 +503,7 @@ def queries() -> dict[str, Query]:
         "csv_roundtrip": _csv_roundtrip,
         "misfit_rows": _misfit_rows,
         "schema_report": _schema_report,
+        "schema_changes": _schema_changes,
         "retyped_rows": _retyped_rows,
         "registered_table": _registered_table,
         "evolved_table": _evolved_table,
@@ -505,6 +529,8 @@ def queries() -> dict[str, Query]:
         "split_counts": _split_counts,
         "matrix_csv": _matrix_csv,
         "json_matrix": _json_matrix,
+        "rounded_predictions": _rounded_predictions,
+        "evaluation": _evaluation,
         "boosted_trees_scores": _boosted_trees_scores,
         "json_scores": _json_scores,
         "model_metrics": _model_metrics,

@@ -263,6 +263,16 @@ def _ingest() -> dict[str, str]:
             CASE WHEN c_mktsegment = 'MACHINERY' THEN 'N/A' ELSE c_mktsegment END AS segment FROM customer""",
         "usage_between_dates": """SELECT CAST(ts AS DATE) AS usage_date, count(*) AS events FROM events
           WHERE ts BETWEEN DATE '2024-01-02' AND DATE '2024-01-28' GROUP BY 1""",
+        "schema_changes": f"""WITH t AS (SELECT {_integer_type('o_orderkey')} AS k, {_integer_type('o_custkey')} AS c
+            FROM orders)
+          SELECT 'o_orderkey' AS name, k AS old_type, 'bigint' AS new_type,
+            CASE WHEN k = 'bigint' THEN 'same' ELSE 'retyped' END AS change FROM t
+          UNION ALL SELECT 'o_custkey', c, 'bigint', CASE WHEN c = 'bigint' THEN 'same' ELSE 'retyped' END FROM t
+          UNION ALL SELECT 'o_orderstatus', 'string', NULL, 'missing'
+          UNION ALL SELECT 'o_totalprice', 'double', 'double', 'same'
+          UNION ALL SELECT 'o_orderdate', 'timestamp', 'timestamp_ntz', 'retyped'
+          UNION ALL SELECT 'o_orderpriority', 'string', 'string', 'same'
+          UNION ALL SELECT 'o_note', NULL, 'string', 'added'""",
         "evolved_table": """SELECT o_orderkey, o_orderstatus,
             CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority,
             CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS part FROM orders""",
@@ -358,6 +368,14 @@ def _features() -> dict[str, str]:
         "split_counts": f"SELECT {train.format('o_orderkey')} AS split, count(*) AS rows FROM orders GROUP BY 1",
         "matrix_csv": """SELECT l_quantity AS f0, l_extendedprice AS f1, l_discount AS f2, l_tax AS f3
           FROM lineitem""",
+        "rounded_predictions": """SELECT l_orderkey, l_linenumber, CAST(round_even(l_quantity / 2, 0) AS DOUBLE) AS result
+          FROM lineitem""",
+        "evaluation": """SELECT count(*) AS rows,
+            round(avg(-ln(CASE l_returnflag WHEN 'A' THEN 0.8::DOUBLE - l_discount
+                WHEN 'N' THEN 0.1::DOUBLE + l_discount ELSE 0.1::DOUBLE END)), 9) AS loss,
+            round(avg(CASE WHEN l_linenumber % 3 = CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END
+                THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 9) AS accuracy
+          FROM lineitem""",
         "json_matrix": """SELECT l_orderkey, 0 AS position, l_quantity AS x, l_extendedprice AS y FROM lineitem
           UNION ALL SELECT l_orderkey, 1, l_discount, l_tax FROM lineitem""",
     }
