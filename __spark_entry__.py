@@ -37,6 +37,11 @@ from ledgerloom.sources.standin import cost_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
 from ledgerloom.streaming.upserts import current_rows, upsert_stream
 
+try:  # the training-data operators can be left out
+    from ledgerloom.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 PERIOD = dt.date(1998, 5, 1)
@@ -535,9 +540,10 @@ def queries() -> dict[str, Query]:
         "json_scores": _json_scores,
         "model_metrics": _model_metrics,
         "binary_model_metrics": _binary_model_metrics,
+        **(llm_queries.QUERIES if llm_queries else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins; none for the trained models, whose scores no other engine repeats."""
-    return oracle_queries.all_queries()
+    return {**oracle_queries.all_queries(), **(llm_queries.ORACLE_SQL if llm_queries else {})}
