@@ -79,7 +79,8 @@ class WordEncoder:
         rest = [np.array(x, np.uint32) for x in alone]
         self.ids = np.concatenate([self.ids, flat[flat != self.mark], *rest])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        self.known.update((w, len(self.known) + i) for i, w in enumerate([*plain, *odd]))
+        first = len(self.known)
+        self.known.update((w, first + i) for i, w in enumerate([*plain, *odd]))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END_ID, and the number of each."""
