@@ -33,12 +33,16 @@ def _pack(rows: np.ndarray, width: int) -> np.ndarray:
 
 
 def _unpack(packed: np.ndarray, count: int, width: int) -> np.ndarray:
-    kind, size = ("<u2", 16) if width <= 16 else ("<u4", 32)
-    bits = np.unpackbits(packed, axis=-1, bitorder="little")[:, : count * width]
-    cells = np.zeros((len(packed), count, size), np.uint8)
-    cells[..., :width] = bits.reshape(len(packed), count, width)
-    whole = np.packbits(cells, axis=-1, bitorder="little").reshape(len(packed), -1)
-    return whole.view(kind).astype(np.uint32)
+    """The values of each row: the bytes that hold a value, shifted together."""
+    bit = np.arange(count) * width
+    byte, shift = bit >> 3, (bit & 7).astype(np.uint64)
+    padded = np.pad(packed, ((0, 0), (0, 5)))
+    n_bytes = (width + 7 + 7) // 8
+    kind = np.uint32 if n_bytes <= 4 else np.uint64
+    whole = padded[:, byte].astype(kind)
+    for k in range(1, n_bytes):
+        whole |= padded[:, byte + k].astype(kind) << kind(8 * k)
+    return ((whole >> shift.astype(kind)) & kind((1 << width) - 1)).astype(np.uint32)
 
 
 def _encode_rows(rows: np.ndarray, percentile: int) -> list[bytes]:

@@ -12,6 +12,7 @@ The block starts give access to any range of ids without decoding the rest.
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -29,7 +30,7 @@ from ledgerloom.llm.storage import file_system, saved, work_dir
 
 MAGIC = b"LLPFOR01"
 END_ID = 2
-# Distinct words whose ids a task remembers; beyond it the memory starts afresh.
+# Words whose ids a worker remembers; beyond it the memory starts afresh.
 MEMORY = 400_000
 # Words encoded in one call, divided by a symbol that is a token of its own.
 _TOGETHER = 50
@@ -41,11 +42,12 @@ _MANIFEST = "shard int, path string, documents bigint, ids bigint"
 
 
 class WordEncoder:
-    """Ids of whole texts, each distinct word encoded once.
+    """Ids of whole texts, each distinct word of a batch encoded once.
 
-    Only for tokenizers that never join text across ASCII white space and give
-    it no id. Between two such characters the ids of a text are those of the
-    words alone, so words can be looked up.
+    Only for tokenizers that ignore case in ASCII, never join text across ASCII
+    white space and give it no id, and always divide an ASCII letter or digit
+    from a dot or comma after it. Between two such places the ids of a text are
+    those of the parts alone, so parts can be looked up.
     """
 
     def __init__(self, path: str):
@@ -54,57 +56,114 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self._ids([_MARK])[0]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(0, np.uint32)
-        self.starts = np.zeros(1, np.int64)
+        self.sizes = np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[str]) -> None:
-        odd = [w for w in words if _MARK in w or "<|" in w]
-        plain = [w for w in words if not (_MARK in w or "<|" in w)]
-        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        found = [np.array([*ids, self.mark], np.uint32) for ids in self._ids([f" {_MARK} ".join(g) for g in groups])]
-        flat = np.concatenate(found) if found else np.zeros(0, np.uint32)
-        ends = np.flatnonzero(flat == self.mark)
-        sizes = np.diff(ends, prepend=-1) - 1
-        if len(sizes) != len(plain):
-            raise ValueError("the tokenizer joins words across spaces")
-        alone = self._ids(odd)
-        sizes = np.concatenate([sizes, np.array([len(x) for x in alone], np.int64)])
-        rest = [np.array(x, np.uint32) for x in alone]
-        self.ids = np.concatenate([self.ids, flat[flat != self.mark], *rest])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-        first = len(self.known)
-        self.known.update((w, first + i) for i, w in enumerate([*plain, *odd]))
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """The ids of all words, the number of each, and the places of the words in that order."""
+        letters, mixed, odd = [], [], []
+        for i, w in enumerate(words):
+            (letters if w.isalpha() else odd if _MARK in w or "<|" in w else mixed).append(i)
+        found = [
+            self._together([words[i] for i in letters], " ", self.closes),
+            self._together([words[i] for i in mixed], f" {_MARK} ", None),
+            self._alone([words[i] for i in odd]),
+        ]
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]), letters + mixed + odd
+
+    def _alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(x, np.uint32) for x in self._ids(words)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
+
+    def _together(self, words: list[str], between: str, closes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Words in a few calls; an id of `closes` is the last of its word, else the mark comes after it."""
+        if not words:
+            return self._alone(words)
+        groups = [between.join(words[i : i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        if closes is None:
+            groups = [f"{g} {_MARK}" for g in groups]
+        flat = np.concatenate([np.array(x, np.uint32) for x in self._ids(groups)])
+        last = closes[flat] if closes is not None else flat == self.mark
+        sizes = np.diff(np.flatnonzero(last), prepend=-1)
+        if len(sizes) != len(words) or (len(flat) and not last[-1]):
+            return self._alone(words)
+        return (flat, sizes) if closes is not None else (flat[~last], sizes - 1)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by END_ID, and the number of each."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        split = pc.ascii_split_whitespace(_parted(texts))
         bounds = split.offsets.to_numpy()
         coded = pc.dictionary_encode(split.values[bounds[0] : bounds[-1]])
         bounds = bounds - bounds[0]
-        words = coded.dictionary.to_pylist()
-        if len(self.known) > MEMORY:
-            self._forget()
-        self._learn([w for w in words if w not in self.known])
-        place = np.fromiter((self.known[w] for w in words), np.int64, len(words))
-        sizes = np.diff(self.starts)[place]
-        each = coded.indices.to_numpy()
-        of_words = sizes[each]
+        words, each = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        place = np.fromiter(map(self.known.get, words, itertools.repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(place < 0)
+        new_ids, new_sizes, order = self._encoded([words[i] for i in new.tolist()])
+        place[new[order]] = len(self.sizes) + np.arange(len(new))
+        ids, sizes = np.concatenate([self.ids, new_ids]), np.concatenate([self.sizes, new_sizes])
+
+        starts = (np.cumsum(sizes) - sizes)[place][each]
+        of_words = sizes[place][each]
         ahead = np.concatenate([[0], np.cumsum(of_words)])
         n_ids = np.diff(ahead[bounds])
-        ids = np.empty(ahead[-1] + len(texts), np.uint32)
-        document = np.repeat(np.arange(len(texts)), np.diff(bounds))
-        begins = ahead[:-1] + document
-        step = np.arange(ahead[-1]) - np.repeat(ahead[:-1], of_words)
-        ids[np.repeat(begins, of_words) + step] = self.ids[np.repeat(self.starts[place][each], of_words) + step]
-        ids[np.cumsum(n_ids + 1) - 1] = END_ID
-        return ids, n_ids + 1
+        # Where each id is read from: consecutive ids but for the jumps between words.
+        jump = np.ones(ahead[-1], np.int64)
+        some = of_words > 0
+        first, read = ahead[:-1][some], starts[some]
+        jump[first] = np.diff(read, prepend=0) - np.diff(first, prepend=0) + 1
+        jump[first[:1]] = read[:1]
+        out = np.empty(ahead[-1] + len(texts), np.uint32)
+        ends = np.cumsum(n_ids + 1) - 1
+        inner = np.ones(len(out), bool)
+        inner[ends] = False
+        out[inner] = ids[np.cumsum(jump)]
+        out[ends] = END_ID
+        self._remember(words, new, np.bincount(each, minlength=len(words)), place, ids, sizes)
+        return out, n_ids + 1
+
+    def _remember(self, words, new, counts, place, ids, sizes) -> None:
+        """Keep the new words that came more than once; others rarely come again."""
+        if len(self.known) > MEMORY:
+            self._forget()
+        kept = new[counts[new] > 1]
+        starts = np.cumsum(sizes) - sizes
+        rows = place[kept]
+        n = sizes[rows]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = len(self.sizes)
+        self.ids = np.concatenate([self.ids, ids[np.repeat(starts[rows], n) + step]])
+        self.sizes = np.concatenate([self.sizes, n])
+        self.known.update(zip((words[i] for i in kept.tolist()), range(at, at + len(kept)), strict=True))
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.isin(np.arange(256), list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))
+_STOP = np.isin(np.arange(256), list(b".,"))
+
+
+def _parted(texts: pa.Array) -> pa.Array:
+    """The texts with ASCII in lower case and a space between a letter or digit and a dot or comma after it."""
+    texts = texts.cast(pa.large_string())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    parting = np.zeros(len(data), bool)
+    parting[1:] = _STOP[data[1:]] & _ALNUM[data[:-1]]
+    at = np.flatnonzero(parting)
+    moved = offsets + np.searchsorted(at, offsets, "left")
+    buffers = [None, pa.py_buffer(moved.astype(np.int64)), pa.py_buffer(np.insert(_LOWER[data], at, 32))]
+    return pa.Array.from_buffers(pa.large_string(), len(texts), buffers)
 
 
 _encoders: dict[str, WordEncoder] = {}
