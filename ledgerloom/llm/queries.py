@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import mixing, tokens
+from ledgerloom.llm import ann, attention, mixing, packing, quality_rules, simhash, tokens, toxicity, warc
 
 QUERIES = {
+    "op1_learned_partitions": ann.nearest_vectors,
     "op2_token_blocks": tokens.token_files,
+    "op3_best_fit_packing": packing.packing,
+    "op4_simhash_components": simhash.simhash_components,
+    "op5_quality_rules": quality_rules.quality_rules,
+    "op6_toxicity": toxicity.toxicity,
     "op8_source_mixing": mixing.mixing,
+    "op9_warc_fixity": warc.fixity,
+    "op10_attention_quality": attention.quality,
 }
 
 ORACLE_SQL = {
     "op8_source_mixing": mixing.MIXING_SQL,
+    "op9_warc_fixity": warc.FIXITY_SQL,
 }
