@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, attention, mixing, packing, quality_rules, simhash, tokens, toxicity, warc
+from ledgerloom.llm import ann, attention, line_dedup, mixing, packing, quality_rules, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_learned_partitions": ann.nearest_vectors,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash_components": simhash.simhash_components,
     "op5_quality_rules": quality_rules.quality_rules,
     "op6_toxicity": toxicity.toxicity,
+    "op7_fuzzy_lines": line_dedup.fuzzy_lines,
     "op8_source_mixing": mixing.mixing,
     "op9_warc_fixity": warc.fixity,
     "op10_attention_quality": attention.quality,
