@@ -38,9 +38,10 @@ from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
 from ledgerloom.streaming.upserts import current_rows, upsert_stream
 
 try:  # the training-data operators can be left out
+    import corpus_pipeline
     from ledgerloom.llm import queries as llm_queries
 except ImportError:
-    llm_queries = None
+    corpus_pipeline = llm_queries = None
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -540,7 +541,7 @@ def queries() -> dict[str, Query]:
         "json_scores": _json_scores,
         "model_metrics": _model_metrics,
         "binary_model_metrics": _binary_model_metrics,
-        **(llm_queries.QUERIES if llm_queries else {}),
+        **({**llm_queries.QUERIES, "pipeline": corpus_pipeline.run} if llm_queries else {}),
     }
 
 
