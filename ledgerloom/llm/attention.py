@@ -86,11 +86,12 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     repeats = np.bincount(of_word[1:][again], minlength=m)
     short = np.bincount(of_word, weights=sizes <= 3, minlength=m)
 
-    some, letters_in = np.maximum(words, 1), np.maximum(np.bincount(of_word, weights=sizes, minlength=m), 1)
+    n_letters = np.bincount(of_word, weights=sizes, minlength=m)
+    some, share = np.maximum(words, 1), 1 / np.maximum(n_letters, 1)[:, None]
     codes = np.empty((m, N_FEATURES), np.float32)
-    codes[:, :_N_CLASSES] = kinds / letters_in[:, None]
-    codes[:, _N_CLASSES : _N_CLASSES + BIGRAMS] = pairs / letters_in[:, None]
-    codes[:, -5:] = np.stack([letters_in / some / 10, distinct / some, repeats / some, short / some, np.log1p(words) / 5], 1)
+    codes[:, :_N_CLASSES] = kinds * share
+    codes[:, _N_CLASSES : _N_CLASSES + BIGRAMS] = pairs * share
+    codes[:, -5:] = np.stack([n_letters / some / 10, distinct / some, repeats / some, short / some, np.log1p(words) / 5], 1)
     return codes, passages
 
 
@@ -108,10 +109,11 @@ def encode_texts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     """(first, last, codes, passages of each) for runs of texts of about _SLICE bytes; null texts are empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     sizes = pc.binary_length(texts).to_numpy()
-    part = np.cumsum(sizes) // _SLICE
+    large = sizes > _SLICE
+    part = np.cumsum(sizes) // _SLICE + np.cumsum(large) + np.cumsum(np.concatenate([[False], large[:-1]]))
     for first in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
         last = int(np.searchsorted(part, part[first], "right"))
-        if last - first == 1 and sizes[first] > _SLICE:
+        if large[first]:
             found = [encode_one(x) for x in _cut(texts[first].as_py())]
             codes = np.concatenate([x for x in found if len(x)])
             yield first, last, codes, np.array([len(codes)])

@@ -31,7 +31,8 @@ def label_sample(labels: DataFrame, label: str, per_label: int) -> DataFrame:
     """About `per_label` rows of each label to learn from, chosen by a hash of the id.
 
     All rows if there are fewer. The share follows from two counts, so no rows
-    are ranked or gathered.
+    are ranked or gathered. So few ids are marked for broadcast: about
+    2 * per_label rows, one per document, at any size of the tables.
     """
     known = learnable(labels, label)
     counts = {row["label"]: row["n"] for row in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -39,4 +40,4 @@ def label_sample(labels: DataFrame, label: str, per_label: int) -> DataFrame:
     wanted = F.lit(False)
     for value, n in counts.items():
         wanted = wanted | ((F.col("label") == value) & (place < int((1 << 30) * min(1.0, per_label / n))))
-    return known.where(wanted)
+    return F.broadcast(known.where(wanted))
