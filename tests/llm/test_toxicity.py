@@ -1,0 +1,71 @@
+import random
+
+import pytest
+
+from ledgerloom.llm import toxicity as tox
+from ledgerloom.llm.labels import held_out
+from pyspark.sql import functions as F
+
+from .conftest import sentence
+
+
+def test_folding():
+    plain = tox.fold("a stupid idiot, a loser")
+    for text in ("A STUPID idiot a loser", "а ѕtupіd іdіоt, a lоѕеr", "a $tup1d 1di0t; a l0s3r", "à stúpid ïdi​ot a ｌｏser"):
+        assert tox.fold(text) == plain
+    assert tox.fold(None) == tox.fold(" \n") == "  "
+    assert tox.fold("word$$$ idiot!") == " word idiot "
+
+
+def test_exceptions_and_lengths():
+    lexicon = tox.Lexicon(((" trash ", 4.0), (" idio", 5.0), (" idiot ", 6.0)), ("trash can",), -3.0, 1.0)
+    assert lexicon.density(tox.fold("put it in the trash can please")) == 0
+    assert lexicon.density(tox.fold("trash talk")) == 2.0
+    assert lexicon.density(tox.fold("trash can trash")) == pytest.approx(4 / 3)
+    assert lexicon.density(tox.fold("idiot")) == 6.0 and lexicon.density(tox.fold("idiocy")) == 5.0
+    assert lexicon.density(tox.fold("videodiot")) == 0
+    assert lexicon.density("  ") == 0 and tox.Lexicon().density(tox.fold("idiot")) == 0
+
+
+def test_cover_leaves_out_what_only_comes_along():
+    texts = [[0, 5 + i] for i in range(10)] + [[0, 1, 3], [0, 1, 4], [1, 3], [1, 4], [1]] * 3
+    assert tox.cover(texts, 30, times=1, support=2) == [0, 1]
+    assert tox.cover([], 0) == []
+
+
+def _corpus(n=600):
+    rng, rows, labels = random.Random(9), [], []
+    for i in range(n):
+        words, toxic = sentence(i, rng.randrange(20, 120)).split(), i % 5 < 2
+        if toxic:
+            for _ in range(rng.randrange(1, 4)):
+                words.insert(rng.randrange(len(words)), rng.choice(["grobian", "gr0bian", "fiesling", "Fiesl1nge", "schuft"]))
+        elif i % 60 == 2:
+            words[3:3] = ["old", "schuft", "inn"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_learnt_lexicon_on_held_out_documents(spark, make_docs):
+    rows, labels = _corpus()
+    docs = make_docs(*rows)
+    lexicon = tox.learn_lexicon(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    assert any(t.startswith(" schuf") for t, _ in lexicon.weights) and "oid schuft" in lexicon.exceptions
+    scored = tox.toxicity_scores(docs, lexicon).withColumn("held_out", held_out(F.col("doc_id")))
+    found = [r for r in scored.collect() if r["held_out"]]
+    wanted = {i: t for i, _, t in labels}
+    right = sum((r["score"] >= 0.5) == bool(wanted[r["doc_id"]]) for r in found)
+    assert len(found) > 90 and right / len(found) > 0.95
+
+
+def test_odd_rows_and_no_labels(spark, make_docs, odd_rows):
+    docs = make_docs(*odd_rows)
+    none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    lexicon = tox.learn_lexicon(docs, none)
+    assert lexicon == tox.Lexicon()
+    scores = tox.toxicity_scores(docs, lexicon)
+    assert scores.count() == len(odd_rows) and scores.where("score < 0 or score >= 0.5 or score is null").count() == 0
+    assert tox.toxicity_scores(docs.where("false"), lexicon).count() == 0
+    odd = spark.createDataFrame([(4, None, 1), (None, 1, 1), (2, 1, 0), (3, 1, 0), (1, 0, 1)], none.schema)
+    assert tox.toxicity_scores(docs, tox.learn_lexicon(docs, odd)).count() == len(odd_rows)
