@@ -182,30 +182,35 @@ def _matched(terms: Sequence[str]):
     return match
 
 
-def cover(texts: Iterable[Sequence[int]], n_terms: int, times: int = COVER, support: int = SUPPORT) -> list[int]:
-    """Terms in the order chosen: each the one in most texts that fewer than `times` others match so far.
+def cover(
+    texts: Iterable[Sequence[int]], costs: Sequence[float], times: int = COVER, support: int = SUPPORT
+) -> list[int]:
+    """Terms in the order chosen: the one in most texts that fewer than `times` others match so far, less its cost.
 
     Texts with the same terms, such as copies, count once. Words that merely
-    come along with others in a few texts are thus not chosen.
+    come along with others in a few texts are thus not chosen, nor are terms
+    that cost as much as they bring.
     """
     rows = sorted({tuple(t) for t in texts if t})
-    there = np.zeros((len(rows), n_terms), bool)
+    there = np.zeros((len(rows), len(costs)), bool)
     for i, row in enumerate(rows):
         there[i, list(row)] = True
     left = np.full(len(rows), times)
     chosen: list[int] = []
-    counts = there.sum(axis=0)
-    while len(rows) and counts.max() >= support:
-        best = int(counts.argmax())
+    counts, costs = there.sum(axis=0), np.asarray(costs, float)
+    while True:
+        gain = np.where(counts >= support, counts - costs, 0)
+        if not gain.size or gain.max() <= 0:
+            return chosen
+        best = int(gain.argmax())
         chosen.append(best)
-        hit = there[:, best]
+        hit = there[:, best].copy()
         left[hit] -= 1
         done = hit & (left == 0)
         there[:, best] = False
         counts[best] = 0
         counts = counts - there[done].sum(axis=0)
         there[done] = False
-    return chosen
 
 
 def _phrases(lexicon: Lexicon):
@@ -256,7 +261,9 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exce
     terms = _counts(folded, _terms).where((F.col("toxic") >= SUPPORT) & (rate >= RATIO))
     terms = terms.orderBy(F.desc("toxic"), "clean", "term").limit(TERMS).collect()
     matched = folded.where("label = 1").mapInArrow(_matched([t["term"] for t in terms]), "places array<int>")
-    chosen = [terms[i] for i in cover((r["places"] for r in matched.collect()), len(terms))]
+    # A clean text with the term weighs like four toxic ones; whole words go before beginnings that add little.
+    costs = [4 * t["clean"] * toxic / clean + 2 * (t["term"][-1] != " ") for t in terms]
+    chosen = [terms[i] for i in cover((r["places"] for r in matched.collect()), costs)]
 
     def weight(t):
         inside, outside = (t["toxic"] + 0.5) / (toxic - t["toxic"] + 0.5), (t["clean"] + 0.5) / (clean - t["clean"] + 0.5)
