@@ -41,7 +41,7 @@ def _corpus(n=600):
         if toxic:
             for _ in range(rng.randrange(1, 4)):
                 words.insert(rng.randrange(len(words)), rng.choice(["grobian", "gr0bian", "fiesling", "Fiesl1nge", "schuft"]))
-        elif i % 60 == 2:
+        elif i % 120 == 2:
             words[3:3] = ["old", "schuft", "inn"]
         rows.append((i, " ".join(words)))
         labels.append((i, 1, int(toxic)))
