@@ -11,6 +11,7 @@ from __future__ import annotations
 import collections
 import dataclasses
 import functools
+import hashlib
 import itertools
 import re
 import unicodedata
@@ -171,13 +172,16 @@ def _counts(sample: DataFrame, keys_of) -> DataFrame:
 
 
 def _matched(terms: Sequence[str]):
-    """Per toxic text the places of its terms in the list."""
+    """Per text a hash of it and the places of its terms in the list."""
     place = {t: i for i, t in enumerate(terms)}
 
     def match(batches):
         for batch in batches:
-            rows = [sorted(place[t] for t in _terms(x) & place.keys()) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], ["places"])
+            texts = batch.column(1).to_pylist()
+            rows = [sorted(place[t] for t in _terms(x) & place.keys()) for x in texts]
+            prints = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in texts]
+            columns = [pa.array(prints, pa.binary()), pa.array(rows, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["print", "places"])
 
     return match
 
@@ -187,11 +191,10 @@ def cover(
 ) -> list[int]:
     """Terms in the order chosen: the one in most texts that fewer than `times` others match so far, less its cost.
 
-    Texts with the same terms, such as copies, count once. Words that merely
-    come along with others in a few texts are thus not chosen, nor are terms
-    that cost as much as they bring.
+    Words that merely come along with others in a few texts are thus not
+    chosen, nor are terms that cost as much as they bring.
     """
-    rows = sorted({tuple(t) for t in texts if t})
+    rows = [t for t in texts if len(t)]
     there = np.zeros((len(rows), len(costs)), bool)
     for i, row in enumerate(rows):
         there[i, list(row)] = True
@@ -260,10 +263,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, exce
     rate = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / clean)
     terms = _counts(folded, _terms).where((F.col("toxic") >= SUPPORT) & (rate >= RATIO))
     terms = terms.orderBy(F.desc("toxic"), "clean", "term").limit(TERMS).collect()
-    matched = folded.where("label = 1").mapInArrow(_matched([t["term"] for t in terms]), "places array<int>")
+    matched = folded.where("label = 1").mapInArrow(_matched([t["term"] for t in terms]), "print binary, places array<int>")
+    texts = {bytes(r["print"]): r["places"] for r in matched.collect()}  # copies count once
     # A clean text with the term weighs like four toxic ones; whole words go before beginnings that add little.
     costs = [4 * t["clean"] * toxic / clean + 2 * (t["term"][-1] != " ") for t in terms]
-    chosen = [terms[i] for i in cover((r["places"] for r in matched.collect()), costs)]
+    chosen = [terms[i] for i in cover([texts[p] for p in sorted(texts)], costs)]
 
     def weight(t):
         inside, outside = (t["toxic"] + 0.5) / (toxic - t["toxic"] + 0.5), (t["clean"] + 0.5) / (clean - t["clean"] + 0.5)
