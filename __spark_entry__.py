@@ -8,14 +8,16 @@ over the whole table.
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import os
 import pickle
 import sys
+import tempfile
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,14 +27,15 @@ import oracle_queries
 from ledgerloom.functions.arrays import one_hot, parse_matrix
 from ledgerloom.functions.money import or_not_available, two_decimals
 from ledgerloom.functions.tags import tags_text
-from ledgerloom.operators.filters import dates_between
+from ledgerloom.operators.filters import current_period, dates_between
 from ledgerloom.operators.sampling import sample_rows, split_counts, train_test_split
 from ledgerloom.plans import corpus, cost, features, ingest, labels, models, tagging, trend
-from ledgerloom.schema import money_as_double
-from ledgerloom.session import scratch_dir
+from ledgerloom.schema import PERIOD as PERIOD_COLUMN
+from ledgerloom.schema import money_as_double, normalise_costs
+from ledgerloom import session
 from ledgerloom.sinks.files import dataset_name, decoded_key, write_csv, write_matrix, write_text_files
 from ledgerloom.sources.catalog import register_table, schema_changes, schema_report
-from ledgerloom.sources.files import decode_image_batches, infer_csv_schema, read_directory
+from ledgerloom.sources.files import batch_files, decode_image_batches, infer_csv_schema, read_directory
 from ledgerloom.sources.standin import cost_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
 from ledgerloom.streaming.upserts import current_rows, upsert_stream
@@ -52,6 +55,17 @@ SERVICE = "Brand#12"
 TAG_KEY = "user_creator"
 WHEN = dt.datetime(2024, 1, 31, 12, 30, 0)
 SMALL_IMAGE = (4, 4, 4)
+RESPONSE_EVENTS = 100  # events with consecutive ids that count as one response
+
+
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="ledgerloom-")
+
+
+def scratch_dir(spark: SparkSession, purpose: str) -> str:
+    """A folder for what a query writes; one process without a shared folder uses a local one."""
+    return session.scratch_dir(spark, purpose, _local_root() if session.runs_in_one_process(spark) else None)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -115,6 +129,44 @@ def _monthly_report(part: str) -> Query:
     return run
 
 
+# Reports on a stored cost table
+
+STORED_BY_SERVICE = """
+    SELECT bill_billing_period_start_date AS billing_period, line_item_product_code AS service,
+           SUM(line_item_unblended_cost) AS total_cost
+    FROM {items}
+    WHERE bill_billing_period_start_date = :period AND line_item_line_item_type NOT IN ('Credit', 'Refund')
+    GROUP BY 1, 2 ORDER BY total_cost DESC, 1, 2 LIMIT 10
+"""
+
+
+def _stored_items(spark, folder, period: Column | None = None) -> DataFrame:
+    """Cost items written in folders by billing period, registered and normalised."""
+    columns = (*cost.cost_by_service.columns, *tagging.tagging_distribution.columns, PERIOD_COLUMN)
+    items = cost_items(spark, folder, columns)
+    if period is not None:
+        items = items.withColumn(PERIOD_COLUMN, period)
+    root = scratch_dir(spark, "stored-costs")
+    items.repartition(PERIOD_COLUMN).write.partitionBy(PERIOD_COLUMN).parquet(f"{root}/cur_data")
+    return normalise_costs(spark.table(register_table(spark, f"{root}/cur_data", **_database(spark, "billing"))))
+
+
+def _stored_cost_by_service(spark, folder):
+    return money_as_double(spark.sql(STORED_BY_SERVICE, args={"period": PERIOD}, items=_stored_items(spark, folder)))
+
+
+def _stored_tagging_distribution(spark, folder):
+    return money_as_double(tagging.tagging_distribution(_stored_items(spark, folder), TAG_KEY, period=PERIOD))
+
+
+def _stored_current_period(spark, folder):
+    """The default period: the months of the table moved so that one of them is the current one."""
+    months = F.months_between(current_period(), F.lit(PERIOD)).cast("int")
+    items = _stored_items(spark, folder, F.add_months(PERIOD_COLUMN, months))
+    report = money_as_double(cost.cost_by_service(items, current_period()))
+    return report.select("service", "total_cost")
+
+
 # Ingest
 
 ORDER_TYPES = ("bigint", "bigint", "string", "double", "date", "string")
@@ -203,14 +255,69 @@ def _evolved_table(spark, folder):
 
 
 def _stream_ingest(spark, folder):
-    """Two runs of the arrival stream; the second reads only the files that came in between."""
-    root = scratch_dir(spark, "arrivals")
-    for name, where in (("first", "o_orderstatus = 'F'"), ("second", "o_orderstatus <> 'F'")):
+    """Two runs of the arrival stream into a table; the second reads only the files that came in between.
+
+    The folders have a space and a plus sign in their names, which stay in `source_key`.
+    """
+    root, database = scratch_dir(spark, "arrivals"), _database(spark, "arrived")
+    spark.sql(f"CREATE DATABASE {database['database']} LOCATION '{database['location']}'")
+    for name, where in (("first run", "o_orderstatus = 'F'"), ("second+run", "o_orderstatus <> 'F'")):
         _orders_as_csv(spark, folder, where, f"{root}/input/{name}")
         arrivals = arriving_csv(spark, f"{root}/input", ORDER_SCHEMA)
-        ingest_stream(arrivals, f"{root}/data", f"{root}/checkpoint", WHEN).awaitTermination()
-    ingested = spark.read.parquet(f"{root}/data").drop("source_key", "dataset")
-    return ingest.apply_mapping(ingested, ingested.columns, (*ORDER_TYPES, "int"))
+        ingest_stream(
+            arrivals, f"{root}/data", f"{root}/checkpoint", WHEN, database["database"], "raw_"
+        ).awaitTermination()
+    ingested = spark.table(f"{database['database']}.raw_data")
+    orders = ingest.apply_mapping(
+        ingested.drop("source_key", "dataset"), [*ORDER_SCHEMA.names, "run"], (*ORDER_TYPES, "int")
+    )
+    names = ingested.select(
+        F.col("o_orderkey").alias("key"),
+        F.regexp_extract("source_key", "/input/([^/]+)/", 1).alias("arrived_in"),
+        (F.col("dataset") == dataset_name(F.col("source_key"), WHEN)).alias("named_after_file"),
+    )
+    return orders.join(names, F.col("o_orderkey") == F.col("key")).drop("key")
+
+
+def _converted_table(spark, folder):
+    """A CSV export converted and registered in one job."""
+    table = ingest.convert_and_register(
+        spark, _orders_as_csv(spark, folder), scratch_dir(spark, "parquet"), WHEN, _database(spark, "converted")["database"]
+    )
+    return _typed_orders(spark.table(table))
+
+
+def _sampled_rows(spark, folder):
+    """The sample of a converted file: its size, and the rows that the table does not hold."""
+    orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey")
+    sample = ingest.first_rows(orders)
+    strange = sample.join(orders, ["o_orderkey", "o_custkey"], "left_anti")
+    counted = sample.agg(F.count(F.lit(1)).alias("rows"))
+    return counted.withColumn("strange", strange.agg(F.count(F.lit(1))).scalar())
+
+
+def _refused_inputs(spark, folder):
+    """Whether an input is refused for having no rows, for all orders and for none."""
+    orders, found = _table(spark, folder, "orders"), []
+    for name, df in (("all", orders), ("none", orders.where("o_orderkey IS NULL"))):
+        try:
+            ingest.require_rows(df, name)
+            found.append((name, False))
+        except ingest.EmptyInputError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "input string, refused boolean")
+
+
+def _batch_files(spark, folder):
+    """A folder of files by nation, of which the names of image batches are chosen."""
+    path = scratch_dir(spark, "batches")
+    name = F.concat(F.when(F.col("n_nationkey") < 20, "data_batch_").otherwise("notes_"), F.col("n_nationkey"))
+    _table(spark, folder, "nation").select(name.alias("name"), F.col("n_name").alias("value")).write.partitionBy(
+        "name"
+    ).text(path)
+    files = batch_files(read_directory(spark, path, "*.txt"), part=-2)
+    key = F.regexp_extract("path", r"batch_(\d+)", 1).cast("int").alias("n_nationkey")
+    return files.select(key, "split", F.regexp_replace(F.decode("content", "UTF-8"), r"\n\z", "").alias("n_name"))
 
 
 def _dataset_names(spark, folder):
@@ -245,8 +352,15 @@ def _page_texts(spark, folder):
     return corpus.page_texts(_table(spark, folder, "pages"))
 
 
+def _odd_page_texts(spark, folder):
+    """Pages behind elements that close themselves or whose names only begin like removed ones."""
+    before = '<title-bar>shop</title-bar><script src="x.js"/><head-line>x</head-line><style/><p>kept</p>'
+    pages = _table(spark, folder, "pages")
+    return corpus.page_texts(pages.withColumn("html", F.concat(F.lit(before), "html")))
+
+
 def _pages_to_corpus(spark, folder):
-    return corpus.pages_to_corpus(_table(spark, folder, "pages"))
+    return corpus.pages_to_corpus(_table(spark, folder, "pages"), n=20)
 
 
 def _page_sample(spark, folder):
@@ -270,6 +384,7 @@ def _text_files(spark, folder):
 def _label_rows(events: DataFrame) -> DataFrame:
     return events.select(
         F.col("user_id").alias("image_id"),
+        F.floor(F.col("event_id") / RESPONSE_EVENTS).alias("response"),
         F.col("event_type").alias("tag"),
         F.col("value").alias("confidence"),
         F.col("event_id").alias("seq"),
@@ -303,13 +418,19 @@ def _response_items(spark, folder):
 
 
 def _label_upsert_stream(spark, folder):
-    path = scratch_dir(spark, "labels")
-    schema = _table(spark, folder, "events").schema
-    arrivals = spark.readStream.schema(schema).parquet(f"{folder}/events.parquet*")
+    """Events arriving in four files, a batch each, with whole responses; an image comes in several."""
+    events = _table(spark, folder, "events")
+    source, path = scratch_dir(spark, "label-events"), scratch_dir(spark, "labels")
+    last = events.agg(F.max("event_id")).first()[0]
+    part = F.floor(F.floor(F.col("event_id") / RESPONSE_EVENTS) * RESPONSE_EVENTS * 4 / (last + 1))
+    for i in range(4):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(source)
+    arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    table, checkpoint = f"{path}/table", f"{path}/checkpoint"
     upsert_stream(
-        _label_rows(arrivals), f"{path}/table", f"{path}/checkpoint", labels.KEYS, "seq", labels.label_items
+        _label_rows(arrivals), table, checkpoint, labels.KEYS, "seq", labels.label_items, compact_after=2
     ).awaitTermination()
-    return money_as_double(current_rows(spark, f"{path}/table", labels.KEYS, "seq"))
+    return money_as_double(current_rows(spark, table, labels.KEYS, "seq"))
 
 
 # Features
@@ -384,19 +505,18 @@ def _matrix_csv(spark, folder):
 # Models
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
-TREE_PARAMS = {**models.LOCAL_PARAMS, "maxIter": 3}
-BINARY_TREE_PARAMS = {**models.CLOUD_PARAMS, "maxIter": 3}
-
-
+TRAINING_ROWS = 20_000  # labelled rows a model is fitted to
 def _measures(spark, folder) -> DataFrame:
-    """Four measures per line, with the return flag as class 0..2 and the status as class 0..1."""
-    lines = _table(spark, folder, "lineitem")
-    flags = F.array(F.lit("A"), F.lit("N"), F.lit("R"))
-    return lines.select(
+    """Four measures per line, with classes 0..2 by the discount and 0..1 by the tax.
+
+    The classes follow from thresholds, so it is known what a model must learn.
+    """
+    discount = F.col("l_discount")
+    return _table(spark, folder, "lineitem").select(
         "l_orderkey",
         F.array(*MEASURES).alias("features"),
-        (F.array_position(flags, F.col("l_returnflag")) - 1).cast("int").alias("label"),
-        (F.col("l_linestatus") == "F").cast("int").alias("is_final"),
+        F.when(discount <= 0.03, 0).when(discount <= 0.06, 1).otherwise(2).alias("label"),
+        (F.col("l_tax") > 0.04).cast("int").alias("is_taxed"),
     )
 
 
@@ -414,33 +534,36 @@ def _json_matrix(spark, folder):
     return rows.select("l_orderkey", "position", F.get("row", F.lit(0)).alias("x"), F.get("row", F.lit(1)).alias("y"))
 
 
-def _trained(spark, folder) -> tuple[models.BoostedTrees, DataFrame]:
-    """A model that went through its files, and the test part."""
+def _trained(spark, folder) -> tuple[models.BoostedTrees, models.BoostedTrees, DataFrame]:
+    """A model in the local setup, its copy that went through files, and the test part."""
     split = train_test_split(_measures(spark, folder), "l_orderkey")
-    cores = spark.sparkContext.defaultParallelism
-    model = models.train_boosted_trees(split.where("split = 'train'"), 3, params=TREE_PARAMS, partitions=cores)
+    model = models.train_boosted_trees(split.where("split = 'train'"), 3, rows=TRAINING_ROWS, parallelism=3)
     path = scratch_dir(spark, "model")
     model.save(path)
-    return models.load_model(spark, path, 3), split.where("split = 'test'")
+    return model, models.load_model(spark, path, 3), split.where("split = 'test'")
 
 
 def _boosted_trees_scores(spark, folder):
-    model, test = _trained(spark, folder)
-    scored = model.transform(test)
-    probabilities = [F.get("probabilities", F.lit(i)).alias(f"probability_{i}") for i in range(3)]
-    return scored.select("l_orderkey", "label", "prediction", *probabilities)
+    _, model, test = _trained(spark, folder)
+    total = F.aggregate("probabilities", F.lit(0.0), lambda a, p: a + p)
+    return model.transform(test).select("l_orderkey", "label", "prediction", F.round(total, 9).alias("probability_sum"))
 
 
 def _json_scores(spark, folder):
-    model, test = _trained(spark, folder)
+    _, model, test = _trained(spark, folder)
     body = F.to_json(F.struct(F.array("features").alias("data")))
     scored = models.score_requests(test.select("l_orderkey", body.alias("body")), model, "l_orderkey")
     return scored.withColumn("result", F.array_join(F.col("result").cast("array<string>"), ","))
 
 
 def _model_metrics(spark, folder):
-    model, test = _trained(spark, folder)
-    return models.evaluate(model.transform(test))
+    """Metrics of the loaded model, and the rows whose scores differ from those before it was saved."""
+    model, loaded, test = _trained(spark, folder)
+    before = model.transform(test).drop("prediction").withColumnRenamed("probabilities", "before")
+    both = loaded.transform(before).withColumn("differs", F.col("probabilities") != F.col("before"))
+    differences = both.agg(F.count_if("differs").alias("differences"))
+    metrics = models.evaluate(both).select("rows", "accuracy", (F.col("loss") < 0.2).alias("sure"))
+    return metrics.withColumn("differences", differences.scalar())
 
 
 def _evaluation(spark, folder):
@@ -460,11 +583,11 @@ def _rounded_predictions(spark, folder):
 
 
 def _binary_model_metrics(spark, folder):
+    """Metrics of the cloud setup."""
     split = train_test_split(_measures(spark, folder), "l_orderkey")
     train, test = split.where("split = 'train'"), split.where("split = 'test'")
-    cores = spark.sparkContext.defaultParallelism
-    model = models.train_boosted_trees(train, 2, label="is_final", params=BINARY_TREE_PARAMS, partitions=cores)
-    return models.evaluate(model.transform(test), "is_final")
+    model = models.train_boosted_trees(train, 2, label="is_taxed", params=models.CLOUD_PARAMS, rows=TRAINING_ROWS)
+    return models.evaluate(model.transform(test), "is_taxed").select("rows", "accuracy", (F.col("loss") < 0.2).alias("sure"))
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -503,6 +626,9 @@ def queries() -> dict[str, Query]:
         "week_over_week_long_spans": _week_over_week(
             trend.Weeks(dt.date(1998, 7, 1), dt.date(2001, 12, 31), dt.date(1995, 1, 1), dt.date(1998, 6, 30))
         ),
+        "stored_cost_by_service": _stored_cost_by_service,
+        "stored_tagging_distribution": _stored_tagging_distribution,
+        "stored_current_period": _stored_current_period,
         "monthly_report_distribution": _monthly_report("tagged_vs_untagged"),
         "monthly_report_expensive": _monthly_report("expensive_untagged"),
         "monthly_report_summary": _monthly_report("summary"),
@@ -514,10 +640,15 @@ def queries() -> dict[str, Query]:
         "registered_table": _registered_table,
         "evolved_table": _evolved_table,
         "stream_ingest": _stream_ingest,
+        "converted_table": _converted_table,
+        "sampled_rows": _sampled_rows,
+        "refused_inputs": _refused_inputs,
+        "batch_files": _batch_files,
         "dataset_names": _dataset_names,
         "rendered_amounts": _rendered_amounts,
         "usage_between_dates": _usage_between_dates,
         "page_texts": _page_texts,
+        "odd_page_texts": _odd_page_texts,
         "pages_to_corpus": _pages_to_corpus,
         "page_sample": _page_sample,
         "text_files": _text_files,

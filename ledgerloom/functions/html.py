@@ -22,9 +22,11 @@ REMOVED_ELEMENTS = ("style", "script", "head", "title")
 # A quoted attribute value may hold '>'. All repeats are possessive: one pass,
 # no backtracking on long texts.
 _ATTRIBUTES = r"""(?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+"""
+# A name ends with white space, a slash or the tag; a tag that closes itself has no content.
+_REMOVED = rf"<({'|'.join(REMOVED_ELEMENTS)})(?=[\s/>]){_ATTRIBUTES}"
 _DROPPED = (
     r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<({'|'.join(REMOVED_ELEMENTS)})\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\z)"
+    rf"|{_REMOVED}(?:(?<=/)>|(?<!/)>.*?(?:</\1\s*>|\z))"
     r"|<![^>]*+>|<\?[^>]*+>"
 )
 _TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}>"

@@ -16,10 +16,15 @@ USAGE_TYPE_NAME = "Usage"
 SHARED_RESOURCE_MARKS = ("management", "overhead")
 
 
-def in_period(items: DataFrame, period: dt.date | Iterable[dt.date] | None) -> DataFrame:
-    """Items of one billing period, of several, or of all (None)."""
+def in_period(items: DataFrame, period: dt.date | Column | Iterable[dt.date] | None) -> DataFrame:
+    """Items of one billing period, of several, or of all (None).
+
+    A period may be a column expression, such as `current_period()`.
+    """
     if period is None:
         return items
+    if isinstance(period, Column):
+        return items.where(F.col(PERIOD) == period)
     if isinstance(period, dt.date):
         return items.where(F.col(PERIOD) == F.lit(period))
     return items.where(F.col(PERIOD).isin(list(period)))

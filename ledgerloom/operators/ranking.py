@@ -26,9 +26,7 @@ def top_k(df: DataFrame, k: int | None, by: str, ties: Sequence[str]) -> DataFra
     return ordered if k is None else ordered.limit(k)
 
 
-# Ranks up to which Spark cuts groups before the shuffle (its default threshold).
-PUSHED_RANKS = 1000
-_SALTS = 64
+SALTS = 64
 
 
 def _first_ranks(df: DataFrame, k: int, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -36,17 +34,19 @@ def _first_ranks(df: DataFrame, k: int, group: Sequence[str], order: Sequence[Co
     return df.withColumn("_rank", F.row_number().over(window)).where(F.col("_rank") <= k).drop("_rank")
 
 
-def top_k_per_group(df: DataFrame, k: int, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def top_k_per_group(
+    df: DataFrame, k: int, group: Sequence[str], order: Sequence[Column], salt_by: Sequence[str], salts: int = SALTS
+) -> DataFrame:
     """The first k rows of each group in a total order.
 
-    The rank filter lets Spark cut every group to k rows per task before the
-    shuffle, so a hot group moves k rows per task and not all of its rows. It
-    does so for small k only; for others each group is first ranked in parts.
+    Each group is ranked in `salts` parts first, dealt out by a hash of the
+    `salt_by` columns, and then among the first k rows of its parts. So no task
+    sorts more than 1/salts of a hot group or k rows of each part; where k is
+    small, Spark also cuts the parts to k rows per task before the shuffle.
     """
-    if k > PUSHED_RANKS:
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(_SALTS)))
-        df = _first_ranks(salted, k, [*group, "_salt"], order).drop("_salt")
-    return _first_ranks(df, k, group, order)
+    parts = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_by), F.lit(salts)))
+    first = _first_ranks(parts, k, [*group, "_salt"], order).drop("_salt")
+    return _first_ranks(first, k, group, order)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

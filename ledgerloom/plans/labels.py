@@ -44,13 +44,15 @@ def label_listing(
 def label_items(
     labels: DataFrame, max_labels: int = TABLE_LABELS, min_confidence: float = TABLE_CONFIDENCE
 ) -> DataFrame:
-    """The items to store from label rows (image_id, tag, confidence, seq).
+    """The items to store from label rows (image_id, response, tag, confidence, seq).
 
-    Keeps the surest labels of each image, with the confidence as decimal.
+    Keeps the surest labels of each response of an image, with the confidence
+    as decimal. A response arrives whole, so the items do not depend on how
+    rows are split into batches.
     """
     sure = labels.where(F.col("confidence") >= min_confidence)
     order = [F.col("confidence").desc_nulls_last(), F.col("tag").asc_nulls_last(), F.col("seq").asc_nulls_last()]
-    best = top_k_per_group(sure, max_labels, ["image_id"], order)
+    best = top_k_per_group(sure, max_labels, ["image_id", "response"], order, ["confidence", "tag", "seq"])
     return best.select("image_id", "tag", F.col("confidence").cast("decimal(38,18)").alias("conf"), "seq")
 
 

@@ -7,7 +7,9 @@ probabilities by softmax in built-in expressions, so scoring runs no Python.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,20 @@ def load_model(spark: SparkSession, path: str, classes: int) -> BoostedTrees:
     )
 
 
+# Labelled rows a model is fitted to, unless told otherwise.
+TRAINING_ROWS = 50_000
+
+
+def bounded_sample(df: DataFrame, rows: int | None) -> DataFrame:
+    """About `rows` rows, the same ones for the same data; all if there are fewer or for None."""
+    if rows is None:
+        return df
+    share = rows / max(1, df.count())
+    if share >= 1:
+        return df
+    return df.where(F.pmod(F.xxhash64(*df.columns), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def train_boosted_trees(
     df: DataFrame,
     classes: int,
@@ -82,27 +98,36 @@ def train_boosted_trees(
     label: str = "label",
     params: dict | None = None,
     seed: int = 42,
-    partitions: int | None = None,
+    rows: int | None = TRAINING_ROWS,
+    partition_bytes: int = 64 << 20,
+    parallelism: int = 1,
 ) -> BoostedTrees:
     """Train on an array column of features and labels 0..classes-1.
 
     `params` are those of GBTClassifier, and `gamma`: Spark's gain of a split is
     a mean over rows, so it is compared with gamma divided by their number.
-    Training reads the data many times. Where it comes in fewer or more uneven
-    partitions than there are cores, `partitions` spreads it once beforehand.
+    Training reads its rows in every round, so they are bounded: about `rows`
+    of them are taken by a hash, all for None. They are spread once over
+    partitions of `partition_bytes` (8 bytes a feature). So many classes are
+    fitted at a time as `parallelism` says. With spark.checkpoint.dir set the
+    boosting cuts its lineage there every ten rounds.
     """
     params = dict(LOCAL_PARAMS if params is None else params)
-    data = df.select(array_to_vector(F.col(features)).alias("features"), F.col(label).alias("_label"))
-    data = (data if partitions is None else data.repartition(partitions)).persist()
+    data = df.select(F.col(features).alias("features"), F.col(label).alias("_label"))
+    data = bounded_sample(data, rows).select(array_to_vector("features").alias("features"), "_label").persist()
     try:
+        size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array("features"))).alias("width")).first()
+        spread = data.repartition(max(1, -(-size["n"] * 8 * (size["width"] or 1) // partition_bytes)))
         if "gamma" in params:
-            params["minInfoGain"] = params.pop("gamma") / max(data.count(), 1)
-        targets = [1] if classes == 2 else range(classes)
-        models = []
-        for target in targets:
-            one_against_rest = data.withColumn("label", (F.col("_label") == target).cast("double"))
-            models.append(GBTClassifier(seed=seed, **params).fit(one_against_rest))
-        return BoostedTrees(tuple(models))
+            params["minInfoGain"] = params.pop("gamma") / max(size["n"], 1)
+        targets = [1] if classes == 2 else list(range(classes))
+
+        def fit(target: int) -> GBTClassificationModel:
+            one_against_rest = spread.withColumn("label", (F.col("_label") == target).cast("double"))
+            return GBTClassifier(seed=seed, **params).fit(one_against_rest)
+
+        with ThreadPool(min(parallelism, len(targets))) as pool:
+            return BoostedTrees(tuple(pool.map(inheritable_thread_target(fit), targets)))
     finally:
         data.unpersist()
 

@@ -13,9 +13,6 @@ from ledgerloom.operators.filters import dates_between, is_net, non_empty
 from ledgerloom.operators.ranking import top_k
 from ledgerloom.schema import COST, LINE_TYPE, REGION, RESOURCE, SERVICE, USAGE_START, reads
 
-# The k changed resources are broadcast up to this k; above it Spark picks the join.
-BROADCAST_ROWS = 10_000
-
 
 @dataclass(frozen=True)
 class Weeks:
@@ -59,8 +56,6 @@ def weekly_totals(items: DataFrame, weeks: Weeks, k: int | None = 20) -> DataFra
 @reads(USAGE_START, RESOURCE, SERVICE, REGION)
 def with_places(totals: DataFrame, items: DataFrame, weeks: Weeks, k: int | None = 20) -> DataFrame:
     """A row per total and (service, region) its resource was seen in, credits included."""
-    if k is not None and k <= BROADCAST_ROWS:
-        totals = F.broadcast(totals)
     places = _used(items, weeks).select(
         F.col(RESOURCE).alias("resource_id"), F.col(SERVICE).alias("service"), F.col(REGION).alias("region")
     )
@@ -92,8 +87,8 @@ def week_over_week(items: DataFrame, weeks: Weeks, k: int | None = 20) -> DataFr
 
     The totals take one aggregate per resource, combined map-side. As the order
     depends on the resource only, the first k rows belong to the first k
-    resources, so only those are looked up in the table again: no group is
-    gathered in one task, and no join shuffles the table. Without a k all rows
-    come back, by a join that Spark plans.
+    resources, so only those are looked up in the table again, by a join that
+    Spark plans from the size it finds: no group is gathered in one task, and
+    for a small k the table is not shuffled. Without a k all rows come back.
     """
     return with_places(weekly_totals(items, weeks, k), items, weeks, k)

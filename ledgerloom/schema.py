@@ -58,15 +58,22 @@ COST_ITEM_SCHEMA = T.StructType(
 )
 
 
+def exact_cast(expression: str, kind: str) -> str:
+    """SQL for a cast that fails, in any ANSI mode, where a value would turn NULL."""
+    cast = f"try_cast({expression} AS {kind})"
+    failed = f"raise_error(concat('amount out of range for {kind}: ', {expression}))"
+    return f"CASE WHEN {expression} IS NULL OR {cast} IS NOT NULL THEN {cast} ELSE {failed} END"
+
+
 def normalise_costs(items: DataFrame, money: T.DecimalType = MONEY) -> DataFrame:
     """Give an exported cost table the types the reports expect.
 
     Measures become decimals and the billing period a date; other columns stay.
-    Sums have ten more digits than `money`; a type of up to 8 digits is summed
-    as a long, where single amounts are that small. Amounts that do not fit are
-    an error in Spark's default ANSI mode.
+    Sums have ten more digits than `money`. An amount that does not fit is an
+    error, also where ANSI mode is off.
     """
-    casts = {name: F.col(name).cast(money) for name in MEASURES if name in items.columns}
+    kind = money.simpleString()
+    casts = {name: F.expr(exact_cast(f"`{name}`", kind)) for name in MEASURES if name in items.columns}
     if PERIOD in items.columns and items.schema[PERIOD].dataType != T.DateType():
         casts[PERIOD] = F.to_date(PERIOD)
     return items.withColumns(casts) if casts else items

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,38 +18,52 @@ SETTINGS = {
     "spark.sql.parquet.filterPushdown": "true",
 }
 
-# For terabytes: start with many shuffle partitions and let AQE merge them to
-# this size, so that none outgrows the memory of a task.
+# For terabytes: shuffle partitions of this size, to which AQE merges smaller
+# ones, so that none outgrows the memory of a task.
+SHUFFLE_PARTITION_BYTES = 128 << 20
 CLUSTER_SETTINGS = {
-    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "8192",
-    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(SHUFFLE_PARTITION_BYTES),
     "spark.sql.files.maxPartitionBytes": "256m",
 }
 
 
 def build_session(
-    app_name: str = "ledgerloom", master: str | None = None, cluster: bool = False, **settings
+    app_name: str = "ledgerloom", master: str | None = None, shuffle_bytes: int | None = None, **settings
 ) -> SparkSession:
-    """A session with the library's settings; `settings` use __ for dots in names."""
+    """A session with the library's settings; `settings` use __ for dots in names.
+
+    On a cluster give `shuffle_bytes`, the size of the largest shuffle, at most
+    that of the input: shuffles start with as many partitions of 128 MB.
+    """
+    cluster = {}
+    if shuffle_bytes is not None:
+        partitions = max(200, -(-shuffle_bytes // SHUFFLE_PARTITION_BYTES))
+        initial = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+        cluster = {**CLUSTER_SETTINGS, initial: str(partitions), "spark.sql.shuffle.partitions": str(partitions)}
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     extra = {name.replace("__", "."): str(value) for name, value in settings.items()}
-    for name, value in {**SETTINGS, **(CLUSTER_SETTINGS if cluster else {}), **extra}.items():
+    for name, value in {**SETTINGS, **cluster, **extra}.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder path that every executor can reach.
+def runs_in_one_process(spark: SparkSession) -> bool:
+    """True for local[...] masters; local-cluster[...] has executors of its own."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
+def scratch_dir(spark: SparkSession, purpose: str, local_root: str | None = None) -> str:
+    """A new folder path that every executor can reach, below spark.checkpoint.dir.
 
-    The folder lies under spark.checkpoint.dir. Only a local-mode session
-    without that setting gets a machine-local folder; a cluster session without
-    it is refused, as its executors could not see each other's files.
+    Without that setting a session in one process may name a folder of its own,
+    `local_root`; a cluster is refused, as its executors could not see each
+    other's files.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and local_root and runs_in_one_process(spark):
+        root = local_root
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="ledgerloom-")
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

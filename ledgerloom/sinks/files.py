@@ -48,6 +48,11 @@ def decoded_key(key: Column) -> Column:
     return F.coalesce(F.try_url_decode(key), key)
 
 
+def decoded_path(path: Column) -> Column:
+    """Undo the percent encoding of a URI path, in which a plus sign stands for itself."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def dataset_name(key: Column, when: dt.datetime | Column) -> Column:
     """{file stem}_{yyyyMMddHHmmss}: the stem is the file name up to its first dot."""
     stem = F.substring_index(F.substring_index(key, "/", -1), ".", 1)

@@ -105,6 +105,16 @@ def _unpickled_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
+def batch_files(files: DataFrame, part: int = -1) -> DataFrame:
+    """The files (path, ...) that are image batches, with `split`: train or test by a mark in the name.
+
+    The name is the last part of the path, or the one that `part` counts from its end.
+    """
+    name = F.element_at(F.split("path", "/"), part)
+    split = F.when(name.contains(TRAIN_BATCH_MARK), "train").when(name.contains(TEST_BATCH_MARK), "test")
+    return files.withColumn("split", split).where("split is not null")
+
+
 def read_image_batches(spark: SparkSession, path: str) -> DataFrame:
     """Pickled image batches as (split, path, position, pixels, label).
 
@@ -119,7 +129,5 @@ def decode_image_batches(files: DataFrame) -> DataFrame:
 
     Each task decodes whole files and sends their rows on in pieces.
     """
-    name = F.substring_index("path", "/", -1)
-    split = F.when(name.contains(TRAIN_BATCH_MARK), "train").when(name.contains(TEST_BATCH_MARK), "test")
-    batches = files.withColumn("split", split).where("split is not null").select("split", "path", "content")
+    batches = batch_files(files).select("split", "path", "content")
     return batches.mapInPandas(_unpickled_rows, _BATCH_SCHEMA)

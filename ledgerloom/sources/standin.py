@@ -26,10 +26,8 @@ TABLES = {
     "nation": "n_nationkey int, n_name string",
 }
 
-# Amounts are below a million. Spark sums decimals of up to 8 digits as longs,
-# which takes less than half the time of wider ones.
-_AMOUNT = "decimal(8,2)"
-_FEE = "decimal(18,4)"
+_AMOUNT = "decimal(18,2)"
+_FEE = "decimal(28,4)"
 
 _OF_PART = {s.SERVICE, s.USAGE_TYPE, s.INSTANCE_TYPE, s.PRODUCT}
 _OF_NATION = {s.REGION, s.PRODUCT}
@@ -37,11 +35,11 @@ _OF_ORDER = {s.TAGS}
 
 
 def _amount(column: str) -> str:
-    return f"CAST({column} AS {_AMOUNT})"
+    return s.exact_cast(column, _AMOUNT)
 
 
 def _fee(price: str, rate: str) -> str:
-    return f"CAST({_amount(price)} * {_amount(rate)} AS {_FEE})"
+    return s.exact_cast(f"({_amount(price)} * {_amount(rate)})", _FEE)
 
 
 def _numbered(prefix: str, every: int) -> str:

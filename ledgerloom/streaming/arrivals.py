@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.sinks.files import dataset_name, decoded_key
+from ledgerloom.sinks.files import dataset_name, decoded_path
 from ledgerloom.sources.catalog import add_partition, register_table
 from ledgerloom.sources.files import csv_options
 
@@ -33,7 +33,7 @@ def arriving_csv(
     reader = spark.readStream.schema(schema).options(**csv_options(**dialect)).option("pathGlobFilter", f"*{suffix}")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.csv(folder).select("*", decoded_key(F.col("_metadata.file_path")).alias("source_key"))
+    return reader.csv(folder).select("*", decoded_path(F.col("_metadata.file_path")).alias("source_key"))
 
 
 def ingest_stream(

@@ -1,9 +1,14 @@
 """A keyed table fed by a stream, where the last write of a key wins.
 
 Each batch adds one folder with its newest row per key, so a write costs as
-much as the batch and not as much as the table. Reading resolves the folders;
-`compact` starts a new table from the resolved rows. No folder that is being
-read is ever overwritten.
+much as the batch and not as much as the table:
+
+    upto=-1/batch_id=<b>   the newest rows of batch b
+    upto=<n>/batch_id=<n>  all batches up to n, resolved
+
+Reading resolves the latest `upto` folder with the batches after it; older
+folders are left out by their names. No folder that is being read is ever
+overwritten, and none is deleted.
 """
 
 from __future__ import annotations
@@ -11,27 +16,40 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerloom.operators.ranking import latest_per_key
 
-_BATCH = "batch_id"
+_BATCH, _UPTO = "batch_id", "upto"
+# Batches after which a stream resolves the table anew, so that a read sees at most so many.
+COMPACT_AFTER = 50
 
 
 def put_batch(df: DataFrame, path: str, batch_id: int, keys: Sequence[str], seq: str) -> None:
     """Add the newest rows of one batch; the same batch put twice counts once."""
     newest = latest_per_key(df, keys, [seq])
-    newest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_BATCH}={batch_id}")
+    newest.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_UPTO}=-1/{_BATCH}={batch_id}")
+
+
+def _live_rows(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """The latest resolved folder (of those before a batch) and the batches after it."""
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.where(F.col(_UPTO) < before)
+    base = rows.agg(F.max(_UPTO)).first()[0]
+    return rows.where((F.col(_UPTO) == base) | ((F.col(_UPTO) == -1) & (F.col(_BATCH) > base))).drop(_UPTO)
 
 
 def current_rows(spark: SparkSession, path: str, keys: Sequence[str], seq: str) -> DataFrame:
     """The table: for each key the row of its last batch, and in it of the largest seq."""
-    return latest_per_key(spark.read.parquet(path), keys, [_BATCH, seq]).drop(_BATCH)
+    return latest_per_key(_live_rows(spark, path), keys, [_BATCH, seq]).drop(_BATCH)
 
 
-def compact(spark: SparkSession, path: str, new_path: str, keys: Sequence[str], seq: str) -> None:
-    """Write the current rows as the first batch (-1) of a table at a new path."""
-    current_rows(spark, path, keys, seq).write.parquet(f"{new_path.rstrip('/')}/{_BATCH}=-1")
+def compact(spark: SparkSession, path: str, batch_id: int, keys: Sequence[str], seq: str) -> None:
+    """Write all batches up to `batch_id`, the last one so far, as one folder of resolved rows."""
+    resolved = latest_per_key(_live_rows(spark, path, before=batch_id), keys, [_BATCH, seq]).drop(_BATCH)
+    resolved.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{_UPTO}={batch_id}/{_BATCH}={batch_id}")
 
 
 def upsert_stream(
@@ -41,14 +59,18 @@ def upsert_stream(
     keys: Sequence[str],
     seq: str,
     prepare: Callable[[DataFrame], DataFrame] = lambda batch: batch,
+    compact_after: int = COMPACT_AFTER,
 ) -> StreamingQuery:
     """Put all items that have arrived into the table and stop.
 
-    `prepare` turns the rows of a batch into the items to put.
+    `prepare` turns the rows of a batch into the items to put. Every
+    `compact_after` batches the table is resolved into one folder.
     """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         put_batch(prepare(batch), path, batch_id, keys, seq)
+        if (batch_id + 1) % compact_after == 0:
+            compact(batch.sparkSession, path, batch_id, keys, seq)
 
     return (
         arrivals.writeStream.foreachBatch(put)

@@ -276,8 +276,13 @@ def _ingest() -> dict[str, str]:
         "evolved_table": """SELECT o_orderkey, o_orderstatus,
             CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority,
             CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS part FROM orders""",
-        "stream_ingest": f"""SELECT {_ORDER_ROW}, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS run
-          FROM orders""",
+        "stream_ingest": f"""SELECT {_ORDER_ROW}, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS run,
+            CASE WHEN o_orderstatus = 'F' THEN 'first run' ELSE 'second+run' END AS arrived_in,
+            true AS named_after_file FROM orders""",
+        "converted_table": f"SELECT {_ORDER_ROW} FROM orders",
+        "sampled_rows": "SELECT least(count(*), 5)::BIGINT AS rows, 0::BIGINT AS strange FROM orders",
+        "refused_inputs": "SELECT * FROM (VALUES ('all', false), ('none', true)) t(input, refused)",
+        "batch_files": "SELECT n_nationkey, 'train' AS split, n_name FROM nation WHERE n_nationkey < 20",
     }
 
 
@@ -298,14 +303,15 @@ def _corpus() -> dict[str, str]:
         "page_texts": f"SELECT page_id, {text} AS text FROM pages",
         "text_files": f"SELECT page_id, {text} AS text FROM pages",
         "pages_to_corpus": f"""SELECT page_id, {text} AS text
-          FROM (SELECT * FROM pages ORDER BY md5(page_id || ':0'), page_id LIMIT 1000)""",
+          FROM (SELECT * FROM pages ORDER BY md5(page_id || ':0'), page_id LIMIT 20)""",
+        "odd_page_texts": f"SELECT page_id, 'shopxkept' || {text} AS text FROM pages",
         "page_sample": "SELECT page_id, url FROM pages ORDER BY md5(page_id || ':42'), page_id LIMIT 100",
     }
 
 
 def _labels() -> dict[str, str]:
     table = """WITH ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_type, event_id) AS r
+        SELECT *, row_number() OVER (PARTITION BY user_id, event_id // 100 ORDER BY value DESC, event_type, event_id) AS r
         FROM events WHERE value >= 96),
       written AS (
         SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS w
@@ -381,8 +387,28 @@ def _features() -> dict[str, str]:
     }
 
 
+def _models() -> dict[str, str]:
+    """What models must learn: classes that follow from a threshold, without an error."""
+    test = "substr(md5(l_orderkey || ':42'), 1, 8) >= 'cccccccc'"
+    label = "CASE WHEN l_discount <= 0.03::DOUBLE THEN 0 WHEN l_discount <= 0.06::DOUBLE THEN 1 ELSE 2 END"
+    return {
+        "boosted_trees_scores": f"""SELECT l_orderkey, {label} AS label, {label}::DOUBLE AS prediction,
+            1.0::DOUBLE AS probability_sum FROM lineitem WHERE {test}""",
+        "json_scores": f"""SELECT l_orderkey, 0 AS position, {label}::DOUBLE AS prediction,
+            CASE {label} WHEN 0 THEN '1.0,0.0,0.0' WHEN 1 THEN '0.0,1.0,0.0' ELSE '0.0,0.0,1.0' END AS result
+          FROM lineitem WHERE {test}""",
+        "model_metrics": f"""SELECT count(*) AS rows, 1.0::DOUBLE AS accuracy, true AS sure, 0::BIGINT AS differences
+          FROM lineitem WHERE {test}""",
+        "binary_model_metrics": f"""SELECT count(*) AS rows, 1.0::DOUBLE AS accuracy, true AS sure
+          FROM lineitem WHERE {test}""",
+    }
+
+
 def all_queries() -> dict[str, str]:
     return {
+        **{f"stored_{name}": _reports(_PERIOD)[name] for name in ("cost_by_service", "tagging_distribution")},
+        "stored_current_period": f"SELECT service, total_cost FROM ({_reports(_PERIOD)['cost_by_service']})",
+        **_models(),
         **_reports(_PERIOD),
         **{f"{name}_all_periods": sql for name, sql in _reports("true").items()},
         "month_over_month": f"""WITH {_items()}, c AS (

@@ -30,6 +30,10 @@ CASES = {
     "&hearts;&NotEqualTilde;&bigstar;&#150;&#x80;&#129;": "♥≂̸★–€\x81",
     "&#0; &#xD800; &#1114112; &#99999999999; &#xFFFFFFFFFFFFFFFFFFFF; &#x00041;": "� � � � � A",
     "l1\nl2\n<p>\tl3</p>\n": "l1\nl2\n\tl3\n",
+    '<p>a</p><script src="x.js"/><p>kept</p>': "akept",
+    "<title-bar>shop</title-bar><p>rest</p>": "shoprest",
+    "<head-line>x</head-line> rest": "x rest",
+    "a<style />b<head/>c<script>d</script >e": "abce",
     "<svg><title>in svg</title><text>seen</text></svg>": "seen",
 }
 
@@ -91,6 +95,15 @@ def test_sample_is_exact_and_repeats(spark, n, total):
     assert sorted(taken, key=order) == sorted(range(total), key=order)[:n]
 
 
+def test_null_and_repeated_keys_are_sampled(spark):
+    rows = [(None if i < 8 else i, f"r{i}") for i in range(20)] + [(99, "same")] * 10
+    df = spark.createDataFrame(rows, "page_id long, html string").repartition(3)
+    for n in (1, 5, 10, 25, 29):
+        assert sample_rows(df, n, "page_id", 3).count() == n
+    taken = sorted(map(str, sample_rows(df, 12, "page_id", 3).collect()))
+    assert taken == sorted(map(str, sample_rows(df.repartition(2), 12, "page_id", 3).collect()))
+
+
 def test_corpus_files(spark, tmp_path):
     pages = spark.createDataFrame(
         [(i, "u", f"<p>page {i}</p>\n<b>x</b>") for i in range(30)], "page_id long, url string, html string"

@@ -3,8 +3,9 @@ import datetime as dt
 import pytest
 from conftest import APRIL, MAY
 
+from ledgerloom.operators.filters import current_period
 from ledgerloom.plans import cost
-from ledgerloom.schema import COST_ITEM_SCHEMA, MONEY, PERIOD, money_as_double, normalise_costs
+from ledgerloom.schema import COST, COST_ITEM_SCHEMA, MONEY, PERIOD, exact_cast, money_as_double, normalise_costs
 from ledgerloom.sources.catalog import register_table
 
 
@@ -92,6 +93,29 @@ def test_month_over_month_without_items_has_no_cost(make_items, rows):
     assert rows(cost.month_over_month(items, MAY, APRIL)) == [("2025-05", "2025-04", None, None, None)]
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_large_amounts_stay_and_those_out_of_range_fail(spark, ansi):
+    raw = spark.createDataFrame([(1_000_000.0,), (None,), (-123_456_789.25,)], f"{COST} double")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        found = [r[0] for r in money_as_double(normalise_costs(raw)).collect()]
+        assert found == [1_000_000.0, None, -123_456_789.25]
+        amounts = raw.selectExpr(exact_cast(COST, "decimal(18,2)") + " AS a")
+        assert [None if r[0] is None else float(r[0]) for r in amounts.collect()] == found
+        for odd in (1e30, float("nan")):
+            broken = normalise_costs(spark.createDataFrame([(odd,)], f"{COST} double"))
+            with pytest.raises(Exception, match="out of range"):
+                broken.collect()
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_the_current_month_is_a_period(spark, make_items):
+    today = dt.date.today()
+    items = make_items({"period": today.replace(day=1), "cost": "5"}, {"period": MAY, "cost": "7"})
+    assert [r["total_cost"] for r in cost.cost_by_service(items, current_period()).collect()] == [5]
+
+
 def test_normalise_costs_makes_sums_exact(spark):
     raw = spark.createDataFrame(
         [("2025-05-01", "compute", "Usage", 0.1), ("2025-05-01", "compute", "Usage", 0.2)],

@@ -58,7 +58,7 @@ def test_two_classes_take_one_model(spark, flowers, tmp_path):
 
 def test_the_cloud_setup_learns(flowers):
     two = flowers.withColumn("label", (F.col("label") == 2).cast("int"))
-    model = models.train_boosted_trees(two, 2, params={**models.CLOUD_PARAMS, "maxIter": 4}, partitions=2)
+    model = models.train_boosted_trees(two, 2, params={**models.CLOUD_PARAMS, "maxIter": 4}, partition_bytes=2000, parallelism=2)
     assert models.CLOUD_PARAMS["gamma"] == 4.0
     assert models.evaluate(model.transform(two)).first()["accuracy"] > 0.95
 
@@ -91,3 +91,10 @@ def test_evaluate_by_hand(spark):
     metrics = models.evaluate(df).first()
     assert metrics["accuracy"] == 0.5
     assert math.isclose(metrics["loss"], (math.log(2) - math.log(1e-15)) / 2)
+
+
+def test_training_rows_are_bounded_and_the_same_each_time(spark):
+    df = spark.range(4000).selectExpr("array(CAST(id AS double)) AS features", "id % 2 AS label")
+    one, two = (sorted(r[0][0] for r in models.bounded_sample(d, 400).select("features").collect()) for d in (df, df.repartition(3)))
+    assert one == two and 300 < len(one) < 500
+    assert models.bounded_sample(df, None).count() == models.bounded_sample(df, 4000).count() == 4000

@@ -1,4 +1,3 @@
-import os
 from types import SimpleNamespace
 
 import pytest
@@ -29,5 +28,10 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         scratch_dir(_session("yarn"), "model")
 
 
-def test_local_sessions_may_use_a_local_folder():
-    assert os.path.isdir(os.path.dirname(scratch_dir(_session("local[2]"), "model")))
+def test_only_one_process_may_use_a_local_folder(tmp_path):
+    assert scratch_dir(_session("local[2]"), "model", str(tmp_path)).startswith(f"{tmp_path}/model-")
+    for master in ("local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            scratch_dir(_session(master), "model", str(tmp_path))
+    with pytest.raises(ValueError):
+        scratch_dir(_session("local[2]"), "model")

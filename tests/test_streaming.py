@@ -38,6 +38,12 @@ def test_files_are_read_once(spark, tmp_path):
     ]
 
 
+def test_plus_signs_and_spaces_in_file_names_stay(spark, tmp_path):
+    _arrive(tmp_path, "x y+z/a+b c%.csv", "id,name\n1,x\n")
+    (row,) = _run(spark, tmp_path).collect()
+    assert row["source_key"].endswith("/x y+z/a+b c%.csv") and row["dataset"] == "a+b c%_20250503010203"
+
+
 def test_the_table_follows_the_stream(spark, tmp_path):
     _arrive(tmp_path, "a.csv", "id,name\n1,x\n")
     _run(spark, tmp_path, database="arrivals", prefix="raw_")
@@ -68,25 +74,38 @@ def test_last_write_wins_within_and_across_batches(spark, tmp_path):
     expected = [("i", "cat", 98.0, 0), ("i", "dog", 99.0, 2), ("j", "cat", 96.0, 4)]
     assert sorted(tuple(r) for r in current_rows(spark, path, KEYS, "seq").collect()) == expected
 
-    smaller = str(tmp_path / "compacted")
-    compact(spark, path, smaller, KEYS, "seq")
-    assert sorted(tuple(r) for r in current_rows(spark, smaller, KEYS, "seq").collect()) == expected
-    put_batch(_items(spark, ("j", "cat", 99.5, 0)), smaller, 2, KEYS, "seq")
-    assert ("j", "cat", 99.5, 0) in [tuple(r) for r in current_rows(spark, smaller, KEYS, "seq").collect()]
+    for _ in range(2):  # a compaction that is repeated changes nothing
+        compact(spark, path, 1, KEYS, "seq")
+        assert sorted(tuple(r) for r in current_rows(spark, path, KEYS, "seq").collect()) == expected
+    put_batch(_items(spark, ("j", "cat", 99.5, 0)), path, 2, KEYS, "seq")
+    assert ("j", "cat", 99.5, 0) in [tuple(r) for r in current_rows(spark, path, KEYS, "seq").collect()]
+    plan = current_rows(spark, path, KEYS, "seq")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "upto" in plan
+
+
+def test_a_stream_compacts_after_so_many_batches(spark, tmp_path):
+    source, table = str(tmp_path / "events"), str(tmp_path / "table")
+    for i in range(5):
+        _items(spark, ("i", f"t{i % 2}", 90.0 + i, i)).coalesce(1).write.mode("append").parquet(source)
+    arrivals = spark.readStream.schema(_items(spark).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    upsert_stream(arrivals, table, str(tmp_path / "c"), KEYS, "seq", compact_after=2).awaitTermination()
+    assert {p.name for p in (tmp_path / "table").iterdir()} >= {"upto=-1", "upto=1", "upto=3"}
+    found = sorted((r["tag"], r["seq"]) for r in current_rows(spark, table, KEYS, "seq").collect())
+    assert found == [("t0", 4), ("t1", 3)]
 
 
 def test_label_stream(spark, tmp_path):
     source, table, checkpoint = (str(tmp_path / name) for name in ("events", "table", "checkpoint"))
-    schema = "image_id string, tag string, confidence double, seq long"
+    schema = "image_id string, response long, tag string, confidence double, seq long"
 
     def run():
         arrivals = spark.readStream.schema(schema).parquet(source)
         upsert_stream(arrivals, table, checkpoint, KEYS, "seq", label_items).awaitTermination()
         return sorted((r["image_id"], r["tag"], r["conf"]) for r in current_rows(spark, table, KEYS, "seq").collect())
 
-    spark.createDataFrame([("i", "cat", 97.0, 1), ("i", "low", 95.9, 2)], schema).write.mode("append").parquet(source)
+    spark.createDataFrame([("i", 1, "cat", 97.0, 1), ("i", 1, "low", 95.9, 2)], schema).write.mode("append").parquet(source)
     assert run() == [("i", "cat", Decimal("97"))]
-    spark.createDataFrame([("i", "cat", 96.0, 3), ("k", "sky", 100.0, 4)], schema).write.mode("append").parquet(source)
+    spark.createDataFrame([("i", 2, "cat", 96.0, 3), ("k", 2, "sky", 100.0, 4)], schema).write.mode("append").parquet(source)
     assert run() == [("i", "cat", Decimal("96")), ("k", "sky", Decimal("100"))]
 
 
