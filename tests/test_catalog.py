@@ -1,4 +1,6 @@
-from ledgerloom.sources.catalog import register_table, schema_changes, schema_report
+import pytest
+
+from ledgerloom.sources.catalog import register_table, schema_changes, schema_report, wider_type
 
 
 def test_register_discovers_columns_and_partitions(spark, tmp_path):
@@ -19,6 +21,28 @@ def test_register_again_adds_columns_and_keeps_missing_ones(spark, tmp_path):
     assert found == {1: ("a", None, None, 1), 2: (None, 2.5, (1,), 2)}
 
 
+def test_types_widen_on_registration_again(spark, tmp_path):
+    path = str(tmp_path / "it's wider")
+    spark.sql("select 1 as a, 2 as b, cast(1.5 as float) as c").write.parquet(f"{path}/day=1")
+    table = register_table(spark, path, "widening", name="t")
+    spark.sql("select 5000000000 as a, 2.5D as b, 2.5D as c, 'x' as d").write.parquet(f"{path}/day=2")
+    assert register_table(spark, path, "widening", name="t") == table
+    found = spark.table(table)
+    assert dict(found.dtypes) == {"a": "bigint", "b": "double", "c": "double", "d": "string", "day": "int"}
+    assert sorted(tuple(r) for r in found.select("a", "b", "c", "d", "day").collect()) == [
+        (1, 2.0, 1.5, None, 1),
+        (5000000000, 2.5, 2.5, "x", 2),
+    ]
+
+
+def test_types_that_no_reader_brings_together_are_refused():
+    assert (wider_type("int", "bigint"), wider_type("double", "int"), wider_type("smallint", "int")) == ("bigint", "double", "int")
+    assert wider_type("float", "int") == "double"
+    for one, two in (("bigint", "double"), ("int", "string")):
+        with pytest.raises(ValueError, match="rewrite"):
+            wider_type(one, two)
+
+
 def test_schema_report_and_changes(spark):
     old = spark.sql("select 1 as id, 'a' as gone, 1 as n")
     new = spark.sql("select 2 as id, cast(1 as decimal(12,3)) as n, array(1) as added")
