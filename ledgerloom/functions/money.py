@@ -6,15 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _round_percent(value: Column) -> Column:
-    # Snapping to 12 digits first removes the binary noise of the division, so
-    # an exact tie such as 12.345 is always rounded up.
-    return F.round(value.cast("decimal(38,12)"), 2).cast("double")
+# Wide enough for sums of money with six digits after the point, and 20,000 times that.
+_EXACT = "decimal(32,6)"
 
 
 def percent_of(part: Column, whole: Column) -> Column:
-    """100 * part / whole to two digits; NULL where whole is 0."""
-    return _round_percent(F.try_divide(F.lit(100.0) * part.cast("double"), whole.cast("double")))
+    """100 * part / whole to two digits, exact ties away from 0; NULL where whole is 0.
+
+    Whole hundredths come from an integral division of decimals, so there is no
+    quotient that is rounded twice.
+    """
+    size, base = F.abs(part.cast(_EXACT)), F.abs(whole.cast(_EXACT))
+    twice = F.nullif(base * 2, F.lit(0).cast(_EXACT))
+    hundredths = F.call_function("div", size * 20000 + base, twice)
+    negative = (part < 0) != (whole < 0)
+    return F.when(negative, -hundredths).otherwise(hundredths).cast("double") / 100
 
 
 def share_percent(part: Column, whole: Column) -> Column:
@@ -24,9 +30,8 @@ def share_percent(part: Column, whole: Column) -> Column:
 
 def percent_change(current: Column, previous: Column) -> Column:
     """Change against the previous value: NULL for a new cost, 0 without a base."""
-    change = F.lit(100.0) * (current - previous).cast("double")
     return (
-        F.when(previous > 0, _round_percent(F.try_divide(change, previous.cast("double"))))
+        F.when(previous > 0, percent_of(current - previous, previous))
         .when((previous == 0) & (current > 0), F.lit(None).cast("double"))
         .otherwise(F.lit(0.0))
     )
@@ -34,6 +39,7 @@ def percent_change(current: Column, previous: Column) -> Column:
 
 def cost_trend(current: Column, previous: Column) -> Column:
     """Label of a change; the first rule that holds wins."""
+    # The labels of the report.
     return (
         F.when((previous == 0) & (current > 0), "New Resource")
         .when(current > previous, "Increasing")

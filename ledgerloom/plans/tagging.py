@@ -93,6 +93,7 @@ def tag_inventory(items: DataFrame, period=None) -> DataFrame:
 @reads(PERIOD, SERVICE, LINE_TYPE, RESOURCE, TAGS, COST)
 def tagging_status_by_service(items: DataFrame, key: str, period=None) -> DataFrame:
     """Resources and cost per service, tagged or not, with the tag key or not."""
+    # The labels of the report.
     groups = ("service", "general_tagging_status", "specific_tag_status")
     per_resource = (
         _resource_usage(items, period)
@@ -235,6 +236,7 @@ def service_resource_detail(items: DataFrame, service: str, key: str, period=Non
         )
         .agg(F.sum(COST).alias("monthly_cost"))
     )
+    # The labels of the report.
     return resources.select(
         "resource_id",
         "product_name",

@@ -59,8 +59,10 @@ def _double(expression: str) -> str:
 
 
 def _percent(part: str, whole: str) -> str:
-    quotient = f"100.0::DOUBLE * {_double(part)} / nullif({_double(whole)}, 0)"
-    return f"CAST(round(CAST({quotient} AS DECIMAL(38,12)), 2) AS DOUBLE)"
+    """100 * part / whole in whole hundredths, ties away from 0, by integers of six digits after the point."""
+    p, w = (f"CAST(CAST({x} AS DECIMAL(32,6)) * 1000000 AS HUGEINT)" for x in (part, whole))
+    hundredths = f"sign({p}) * sign({w}) * ((20000 * abs({p}) + abs({w})) // nullif(2 * abs({w}), 0))"
+    return f"CAST({hundredths} AS DOUBLE) / 100"
 
 
 def _distribution(where: str) -> str:
