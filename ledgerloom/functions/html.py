@@ -50,7 +50,11 @@ def html_to_text(html: Column) -> Column:
 
 def decode_references(text: Column) -> Column:
     """Replace character references such as &amp;, &#233; and &#xe9;."""
-    names, controls = _constant_map(_NAMES), _constant_map(_CONTROLS)
+    controls = _constant_map(_CONTROLS)
+    # A map is searched from its start, so there is one for each first letter.
+    letters = sorted({name[0] for name in _NAMES})
+    of_letter = {x: _constant_map({n: c for n, c in _NAMES.items() if n[0] == x}) for x in letters}
+    names = F.create_map(*(column for x in letters for column in (F.lit(x), of_letter[x])))
 
     def character(reference):
         hexadecimal = F.regexp_extract(reference, "^#[xX]0*([0-9a-fA-F]*)$", 1)
@@ -63,7 +67,9 @@ def decode_references(text: Column) -> Column:
 
     def decoded(part):
         reference = F.regexp_extract(part, _REFERENCE, 1)
-        value = F.when(reference.startswith("#"), character(reference)).otherwise(F.try_element_at(names, reference))
+        value = F.when(reference.startswith("#"), character(reference)).otherwise(
+            F.try_element_at(F.try_element_at(names, F.substr(reference, F.lit(1), F.lit(1))), reference)
+        )
         after = F.regexp_replace(F.substr(part, F.length(reference) + 1), "^;", "")
         return F.coalesce(F.concat(value, after), F.concat(F.lit("&"), part))
 
