@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, attention, line_dedup, mixing, packing, quality_rules, simhash, tokens, toxicity, warc
+from ledgerloom.llm import ann, attention, chat_format, line_dedup, mixing, packing, quality_rules, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_learned_partitions": ann.nearest_vectors,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_source_mixing": mixing.mixing,
     "op9_warc_fixity": warc.fixity,
     "op10_attention_quality": attention.quality,
+    "op11_grammar_round_trip": chat_format.chat_formatting,
 }
 
 ORACLE_SQL = {
     "op8_source_mixing": mixing.MIXING_SQL,
     "op9_warc_fixity": warc.FIXITY_SQL,
+    "op11_grammar_round_trip": chat_format.CHAT_SQL,
 }
