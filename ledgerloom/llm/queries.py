@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, attention, chat_format, line_dedup, mixing, packing, quality_rules, simhash, tokens, toxicity, warc
+from ledgerloom.llm import ann, attention, chat_format, line_dedup, mixing, packing, quality_rules, resampling, simhash, tokens, toxicity, warc
 
 QUERIES = {
     "op1_learned_partitions": ann.nearest_vectors,
@@ -16,10 +16,12 @@ QUERIES = {
     "op9_warc_fixity": warc.fixity,
     "op10_attention_quality": attention.quality,
     "op11_grammar_round_trip": chat_format.chat_formatting,
+    "op12_importance_resampling": resampling.importance_resampling,
 }
 
 ORACLE_SQL = {
     "op8_source_mixing": mixing.MIXING_SQL,
     "op9_warc_fixity": warc.FIXITY_SQL,
     "op11_grammar_round_trip": chat_format.CHAT_SQL,
+    "op12_importance_resampling": resampling.RESAMPLING_SQL,
 }

@@ -1,0 +1,133 @@
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import resampling
+
+DOC = "doc_id bigint, text string"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+
+
+def runs(text, longest):
+    found = words(text)
+    return [" ".join(found[i : i + n]) for n in range(1, longest + 1) for i in range(len(found) - n + 1)]
+
+
+def counts(texts, buckets, longest):
+    return Counter(zlib.crc32(f.encode()) % buckets for t in texts for f in runs(t, longest))
+
+
+def brute_force(docs, target, percent=10, least=20, buckets=10_000, longest=1, seed=2024):
+    """doc_id, n_features, weight, score, rank of each row, as a sorted list."""
+    s, t = counts([d[1] for d in docs], buckets, longest), counts(target, buckets, longest)
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = [
+        math.floor(1000 * math.log(((t[b] + 1) * (big_s + buckets)) / ((s[b] + 1) * (big_t + buckets)))) for b in range(buckets)
+    ]
+    rows = []
+    for doc_id, text in docs:
+        found = [gain[zlib.crc32(f.encode()) % buckets] for f in runs(text, longest)]
+        weight = sum(found) // len(found) if found else 0
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        rows.append((doc_id, len(found), weight, score, len(words(text)) >= least))
+    able = sorted((r for r in rows if r[4]), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    drawn = able[: percent * len(able) // 100]
+    rest = [r for r in rows if not r[4]] + able[len(drawn) :]
+    return sorted([(*r[:4], i) for i, r in enumerate(drawn, 1)] + [(*r[:4], None) for r in rest], key=str)
+
+
+def found(spark, docs, target, schema=DOC, **options):
+    frames = spark.createDataFrame(docs, schema), spark.createDataFrame([(t,) for t in target], "text string")
+    return sorted((tuple(r) for r in resampling.resample(*frames, **options).collect()), key=str)
+
+
+def random_text(rng, most=60):
+    choice = ("Alpha", "beta9", "Éclair", "x", "中文", "naïve-word", "a_b", "\t", "\n", "1,5", "ÀB", "end.")
+    return " ".join(rng.choices(choice, k=rng.randrange(most)))
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    docs = [(i, random_text(rng)) for i in range(400)]
+    target = [random_text(rng) + " beta9 x" for _ in range(20)]
+    assert found(spark, docs, target) == brute_force(docs, target)
+    more = dict(percent=37, seed=7)
+    assert found(spark, docs, target, least_words=5, **more) == brute_force(docs, target, least=5, **more)
+
+
+def test_odd_rows(spark, odd_rows):
+    rows = [(r[0], r[1]) for r in odd_rows] + [(7, "same words here " * 9)] * 12 + [(None, "same words here " * 9)] * 3
+    docs = [(*r, 1, 2, "x", True) for r in rows]
+    target = ["same words", None, "", "ÜN 中文"]
+    schema = DOC + ", score int, place int, tie string, weight boolean"
+    assert found(spark, docs, target, schema, percent=50) == brute_force(rows, target, percent=50)
+    assert found(spark, [], target) == []
+    assert found(spark, rows[:3], []) == brute_force(rows[:3], [])
+    assert found(spark, rows, target, percent=100) == brute_force(rows, target, percent=100)
+    assert {r[4] for r in found(spark, rows, target, percent=0)} == {None}
+
+
+def test_ties_of_one_score_are_cut_by_id(spark):
+    """All texts alike: the order follows from the noise and, where that is equal too, from the id."""
+    docs = [(i, "one two three four " * 5) for i in range(3000)]
+    result = found(spark, docs, ["one two"])
+    assert result == brute_force(docs, ["one two"])
+    scores = Counter(r[3] for r in result)
+    assert max(scores.values()) > 1
+
+
+def test_longer_runs_and_slices_of_long_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = [(i, random_text(rng, 90)) for i in range(50)]
+    df = spark.createDataFrame(docs, DOC)
+    listed = {r["bucket"]: r["n"] for r in resampling.bucket_counts(df, 64, 3).collect()}
+    assert listed == dict(counts([t for _, t in docs], 64, 3))
+    weights = resampling.learn_weights(df, df.where("doc_id < 5"), 64, 3)
+    measured = {r["doc_id"]: r for r in resampling.document_weights(df, weights).collect()}
+    assert all(measured[i]["n_features"] == len(runs(t, 3)) and measured[i]["n_words"] == len(words(t)) for i, t in docs)
+    monkeypatch.setattr(resampling, "_SLICE", 7)
+    for _, text in docs:
+        pieces = [f.decode() for part in resampling._features(text.encode(), 3) for f in part]
+        assert Counter(pieces) == Counter(runs(text, 3))
+
+
+@pytest.mark.parametrize("wanted", [1, 2, 499, 500, 501, 999, 1000])
+@pytest.mark.parametrize("margin", [1e-9, 0.01, 2.0])
+def test_brackets_hold_the_cutoff(spark, wanted, margin):
+    scores = [0] * 500 + list(range(-200, 300))
+    scored = spark.createDataFrame([(s,) for s in scores], "score bigint")
+    best = sorted(scores, reverse=True)
+    found = resampling.bracket(scored, wanted, 1000, margin)
+    assert found.low <= best[wanted - 1] <= found.high
+    assert found.above == sum(s > found.high for s in scores) < wanted
+    assert found.inside == sum(found.low <= s <= found.high for s in scores)
+
+
+def test_a_bracket_beside_the_cutoff_is_widened(spark):
+    """The share that is asked for points at the wrong place; the counts notice."""
+    scored = spark.range(1000).select(F.col("id").alias("score"))
+    found = resampling.bracket(scored, 900, 10_000, 0.0001)
+    assert found.low <= 100 <= found.high and found.above < 900 <= found.above + found.inside
+
+
+def test_the_sort_reads_the_bracket_only(spark, monkeypatch):
+    sorted_rows = []
+    real = resampling._ordered
+    monkeypatch.setattr(resampling, "_ordered", lambda rows: sorted_rows.append(rows.count()) or real(rows))
+    scored = spark.range(20_000).select(
+        F.col("id").alias("doc_id"), F.lit(False).alias("no_doc"), F.lit(0).cast("bigint").alias("tie"), F.col("id").alias("score")
+    )
+    assert resampling.cutoff(scored, 2000, 20_000)["score"] == 18_000
+    assert sorted_rows[0] < 200
