@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import ann, attention, chat_format, line_dedup, mixing, packing, quality_rules, resampling, simhash, tokens, toxicity, warc
+from ledgerloom.llm import (
+    ann,
+    attention,
+    chat_format,
+    line_dedup,
+    mixing,
+    packing,
+    quality_rules,
+    resampling,
+    simhash,
+    structure,
+    tokens,
+    toxicity,
+    warc,
+)
 
 QUERIES = {
     "op1_learned_partitions": ann.nearest_vectors,
@@ -17,6 +31,7 @@ QUERIES = {
     "op10_attention_quality": attention.quality,
     "op11_grammar_round_trip": chat_format.chat_formatting,
     "op12_importance_resampling": resampling.importance_resampling,
+    "op13_structure_repair": structure.structure_repair,
 }
 
 ORACLE_SQL = {
@@ -24,4 +39,5 @@ ORACLE_SQL = {
     "op9_warc_fixity": warc.FIXITY_SQL,
     "op11_grammar_round_trip": chat_format.CHAT_SQL,
     "op12_importance_resampling": resampling.RESAMPLING_SQL,
+    "op13_structure_repair": structure.STRUCTURE_SQL,
 }
