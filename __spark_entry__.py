@@ -34,8 +34,9 @@ from ledgerloom.schema import PERIOD as PERIOD_COLUMN
 from ledgerloom.schema import money_as_double, normalise_costs
 from ledgerloom import session
 from ledgerloom.sinks.files import dataset_name, decoded_key, write_csv, write_matrix, write_text_files
+from ledgerloom.sinks.named_files import write_named_files
 from ledgerloom.sources.catalog import register_table, schema_changes, schema_report
-from ledgerloom.sources.files import batch_files, decode_image_batches, infer_csv_schema, read_directory
+from ledgerloom.sources.files import batch_files, infer_csv_schema, read_directory, read_image_batches
 from ledgerloom.sources.standin import cost_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
 from ledgerloom.streaming.upserts import current_rows, upsert_stream
@@ -147,7 +148,8 @@ def _stored_items(spark, folder, period: Column | None = None) -> DataFrame:
     if period is not None:
         items = items.withColumn(PERIOD_COLUMN, period)
     root = scratch_dir(spark, "stored-costs")
-    items.repartition(PERIOD_COLUMN).write.partitionBy(PERIOD_COLUMN).parquet(f"{root}/cur_data")
+    # Few files per month, without a task that holds a whole one: a rebalance splits large months.
+    items.hint("rebalance", PERIOD_COLUMN).write.partitionBy(PERIOD_COLUMN).parquet(f"{root}/cur_data")
     return normalise_costs(spark.table(register_table(spark, f"{root}/cur_data", **_database(spark, "billing"))))
 
 
@@ -308,16 +310,22 @@ def _refused_inputs(spark, folder):
     return spark.createDataFrame(found, "input string, refused boolean")
 
 
+PAGES_PER_FILE = 10
+
+
 def _batch_files(spark, folder):
-    """A folder of files by nation, of which the names of image batches are chosen."""
+    """Files of ten pages each, written, listed, chosen by the marks in their names, and all rows read back."""
     path = scratch_dir(spark, "batches")
-    name = F.concat(F.when(F.col("n_nationkey") < 20, "data_batch_").otherwise("notes_"), F.col("n_nationkey"))
-    _table(spark, folder, "nation").select(name.alias("name"), F.col("n_name").alias("value")).write.partitionBy(
-        "name"
-    ).text(path)
-    files = batch_files(read_directory(spark, path, "*.txt"), part=-2)
-    key = F.regexp_extract("path", r"batch_(\d+)", 1).cast("int").alias("n_nationkey")
-    return files.select(key, "split", F.regexp_replace(F.decode("content", "UTF-8"), r"\n\z", "").alias("n_name"))
+    part = F.floor(F.col("page_id") / PAGES_PER_FILE)
+    kind = F.when(part % 3 == 0, "notes_").when(part % 5 == 0, "test_batch_").otherwise("data_batch_")
+    line = F.to_json(F.struct("page_id", "url"))
+    whole = _table(spark, folder, "pages").groupBy(F.concat(kind, part.cast("string"), F.lit(".json")).alias("name"))
+    files = whole.agg(F.array_join(F.collect_list(line), "\n").alias("lines"))
+    write_named_files(files, F.col("name"), F.col("lines"), path)
+    listed = batch_files(read_directory(spark, path, "*.json"))
+    rows = listed.select("split", F.explode(F.split(F.decode("content", "UTF-8"), "\n")).alias("line"))
+    page = F.from_json("line", "page_id bigint, url string")
+    return rows.select("split", page.alias("page")).select("page.page_id", "split", "page.url")
 
 
 def _dataset_names(spark, folder):
@@ -373,8 +381,8 @@ def _text_files(spark, folder):
     write_text_files(_page_texts(spark, folder), "page_id", "text", path)
     files = read_directory(spark, path, "*.txt")
     return files.select(
-        F.regexp_extract("path", r"page_id=(\d+)", 1).cast("bigint").alias("page_id"),
-        F.regexp_replace(F.decode("content", "UTF-8"), r"\n\z", "").alias("text"),
+        F.regexp_extract("path", r"/file_(\d+)\.txt$", 1).cast("bigint").alias("page_id"),
+        F.decode("content", "UTF-8").alias("text"),
     )
 
 
@@ -450,18 +458,24 @@ def _cells(df: DataFrame, array: str, *keys: str) -> DataFrame:
     )
 
 
-def _pickled(frames):
-    for frame in frames:
-        data = np.array(frame["pixels"].tolist(), dtype="uint8")
-        batch = {b"data": data, b"labels": [int(x) for x in frame["label"]]}
-        yield pd.DataFrame({"path": ["images/data_batch_1"], "content": [pickle.dumps(batch)]})
+IMAGES_PER_FILE = 500
 
 
 def _image_batches(spark, folder):
-    """Images put into pickled batch files, one per Arrow batch, and read out of them."""
-    files = _images(spark, folder).mapInPandas(_pickled, "path string, content binary")
-    pixels = F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels")
-    return decode_image_batches(files).select("split", "label", pixels)
+    """Images in pickled batch files of a fixed size, a test file after every four training files, read out of them."""
+
+    def pickled(group: pd.DataFrame) -> pd.DataFrame:
+        pixels = np.array(group["pixels"].tolist(), dtype="uint8")
+        content = pickle.dumps({b"data": pixels, b"labels": [int(x) for x in group["label"]]})
+        return pd.DataFrame({"name": [group["name"].iloc[0]], "content": [content]})
+
+    path = scratch_dir(spark, "image-batches")
+    part = F.floor(F.col("vec_id") / IMAGES_PER_FILE)
+    name = F.concat(F.when(part % 5 == 4, "test_batch_").otherwise("data_batch_"), part.cast("string"))
+    files = _images(spark, folder).withColumn("name", name).groupBy("name").applyInPandas(pickled, "name string, content binary")
+    write_named_files(files, F.col("name"), F.col("content"), path)
+    images = read_image_batches(spark, path)
+    return images.select("split", "label", F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"))
 
 
 def _prepare_images(spark, folder):
@@ -595,7 +609,22 @@ def entry(spark: SparkSession) -> DataFrame:
     return queries()["tagging_distribution"](spark, "/root/testdata/sf0.001")
 
 
+def _shipping(query: Query) -> Query:
+    """The query, after the workers have got the package."""
+
+    @functools.wraps(query)
+    def run(spark, folder):
+        session.ship_package(spark)
+        return query(spark, folder)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
+    return {name: _shipping(query) for name, query in _queries().items()}
+
+
+def _queries() -> dict[str, Query]:
     reports = {
         "cost_by_service": (cost.cost_by_service,),
         "cost_by_instance_type": (cost.cost_by_instance_type, SERVICE),

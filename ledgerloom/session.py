@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -67,3 +70,27 @@ def scratch_dir(spark: SparkSession, purpose: str, local_root: str | None = None
     if not root:
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let the Python workers of an application import this package, wherever the driver was started.
+
+    The package goes to the executors as a zip archive, once per application.
+    Not needed where it is installed on every machine.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="ledgerloom-package-"), "ledgerloom.zip")
+    with zipfile.ZipFile(archive, "w") as kept:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    kept.write(path, os.path.relpath(path, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(application)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ledgerloom.sinks.named_files import write_named_files
+
 
 def write_csv(df: DataFrame, path: str, header: bool = True, skip_empty: bool = True, mode: str = "errorifexists") -> bool:
     """Write CSV with " as quote and \\ as escape; an empty frame is skipped. True if written."""
@@ -29,18 +32,14 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> int:
     return seen.get["rows"]
 
 
-def write_text_files(df: DataFrame, key: str, text: str, path: str, mode: str = "errorifexists") -> None:
-    """One folder and text file per document: for corpora of thousands of documents.
+def write_text_files(df: DataFrame, key: str, text: str, path: str, mode: str = "append", flat: bool = False) -> None:
+    """One file file_{key}.txt per document with exactly its text, in a folder per task or, with `flat`, in one.
 
-    A file per document does not scale further; larger corpora go to Parquet.
-    Each file ends with a line break.
+    Nothing is left of a write that fails. A null text makes an empty file, a
+    null key is an error. See `write_named_files`.
     """
-    (
-        df.select(F.col(key), F.col(text).alias("value"))
-        .write.mode(mode)
-        .partitionBy(key)
-        .text(path)
-    )
+    name = F.concat(F.lit("file_"), F.col(key).cast("string"), F.lit(".txt"))
+    write_named_files(df, name, F.col(text), path, mode, flat)
 
 
 def decoded_key(key: Column) -> Column:
@@ -61,6 +60,9 @@ def dataset_name(key: Column, when: dt.datetime | Column) -> Column:
 
 
 def dataset_path(root: str, key: str, when: dt.datetime) -> str:
-    """The output folder of one input file, new for every second."""
+    """The output folder of one input file: its stem, the time to the second and a part of its own.
+
+    Runs of one second, of the same file too, get folders of their own.
+    """
     stem = key.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
-    return f"{root.rstrip('/')}/data/{stem}_{when:%Y%m%d%H%M%S}"
+    return f"{root.rstrip('/')}/data/{stem}_{when:%Y%m%d%H%M%S}_{uuid.uuid4().hex[:12]}"

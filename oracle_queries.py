@@ -284,7 +284,8 @@ def _ingest() -> dict[str, str]:
         "converted_table": f"SELECT {_ORDER_ROW} FROM orders",
         "sampled_rows": "SELECT least(count(*), 5)::BIGINT AS rows, 0::BIGINT AS strange FROM orders",
         "refused_inputs": "SELECT * FROM (VALUES ('all', false), ('none', true)) t(input, refused)",
-        "batch_files": "SELECT n_nationkey, 'train' AS split, n_name FROM nation WHERE n_nationkey < 20",
+        "batch_files": """SELECT page_id, CASE WHEN page_id // 10 % 5 = 0 THEN 'test' ELSE 'train' END AS split, url
+          FROM pages WHERE page_id // 10 % 3 <> 0""",
     }
 
 
@@ -351,7 +352,8 @@ def _features() -> dict[str, str]:
 
     return {
         "image_batches": f"""WITH {images}
-          SELECT 'train' AS split, label, array_to_string(p, ',') AS pixels FROM images""",
+          SELECT CASE WHEN vec_id // 500 % 5 = 4 THEN 'test' ELSE 'train' END AS split, label,
+            array_to_string(p, ',') AS pixels FROM images""",
         # Cell i of the interleaved image is channel i % 4 of pixel i // 4.
         "prepare_images": f"""WITH {images}
           SELECT vec_id, CAST(i AS INTEGER) AS position,

@@ -111,6 +111,6 @@ def test_corpus_files(spark, tmp_path):
     texts = pages_to_corpus(pages, n=10, seed=3)
     write_text_files(texts, "page_id", "text", str(tmp_path / "texts"))
     files = read_directory(spark, str(tmp_path / "texts"), "*.txt").select("path", F.decode("content", "UTF-8"))
-    found = {int(r[0].split("page_id=")[1].split("/")[0]): r[1] for r in files.collect()}
+    found = {int(r[0].rsplit("/file_", 1)[1].removesuffix(".txt")): r[1] for r in files.collect()}
     assert len(found) == 10
-    assert all(text == f"page {i}\nx\n" for i, text in found.items())
+    assert all(text == f"page {i}\nx" for i, text in found.items())
