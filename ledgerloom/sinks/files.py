@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
@@ -60,9 +59,6 @@ def dataset_name(key: Column, when: dt.datetime | Column) -> Column:
 
 
 def dataset_path(root: str, key: str, when: dt.datetime) -> str:
-    """The output folder of one input file: its stem, the time to the second and a part of its own.
-
-    Runs of one second, of the same file too, get folders of their own.
-    """
+    """The output folder of one input file, new for every second; a second run in it finds the folder and stops."""
     stem = key.rstrip("/").rsplit("/", 1)[-1].split(".", 1)[0]
-    return f"{root.rstrip('/')}/data/{stem}_{when:%Y%m%d%H%M%S}_{uuid.uuid4().hex[:12]}"
+    return f"{root.rstrip('/')}/data/{stem}_{when:%Y%m%d%H%M%S}"
