@@ -39,7 +39,8 @@ from ledgerloom.sources.catalog import register_table, schema_changes, schema_re
 from ledgerloom.sources.files import batch_files, infer_csv_schema, read_directory, read_image_batches
 from ledgerloom.sources.standin import cost_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
-from ledgerloom.streaming.upserts import current_rows, upsert_stream
+from ledgerloom.streaming.keyed_table import KeyedTable, upsert_stream
+from ledgerloom.streaming.label_state import current_labels, label_state_table, label_stream
 
 try:  # the training-data operators can be left out
     import corpus_pipeline
@@ -425,20 +426,44 @@ def _response_items(spark, folder):
     return money_as_double(labels.response_items(_responses(spark, folder)))
 
 
+def _event_files(spark, folder, name: str, part: Column, parts: int) -> DataFrame:
+    """A stream of the events, written as a file for each number of `part`, that reads a file at a time."""
+    events, source = _table(spark, folder, "events"), scratch_dir(spark, name)
+    for i in range(parts):
+        events.where(part == i).coalesce(1).write.mode("append").parquet(source)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+
+UPSERT_BATCHES = 10
+
+
 def _label_upsert_stream(spark, folder):
-    """Events arriving in four files, a batch each, with whole responses; an image comes in several."""
+    """Events arriving in ten files, a batch each, with whole responses; an image comes in several."""
+    last = _table(spark, folder, "events").agg(F.max("event_id")).first()[0] or 0
+    part = F.floor(F.floor(F.col("event_id") / RESPONSE_EVENTS) * RESPONSE_EVENTS * UPSERT_BATCHES / (last + 1))
+    arrivals = _event_files(spark, folder, "label-events", part, UPSERT_BATCHES)
+    path = scratch_dir(spark, "labels")
+    table = KeyedTable(f"{path}/table", labels.KEYS, "seq", buckets=8)
+    upsert_stream(_label_rows(arrivals), table, f"{path}/checkpoint", labels.label_items).awaitTermination()
+    return money_as_double(table.rows(spark))
+
+
+def _label_state_stream(spark, folder):
+    """Events arriving in three files, each with a third of every response: the same table as from whole ones."""
+    arrivals = _event_files(spark, folder, "label-pieces", F.col("event_id") % 3, 3)
+    path = scratch_dir(spark, "label-state")
+    table = label_state_table(f"{path}/table", buckets=8)
+    label_stream(_label_rows(arrivals), table, f"{path}/checkpoint").awaitTermination()
+    return money_as_double(current_labels(spark, table))
+
+
+def _label_lookup(spark, folder):
+    """The labels of every tenth image from a stored table, of which only their buckets are read."""
     events = _table(spark, folder, "events")
-    source, path = scratch_dir(spark, "label-events"), scratch_dir(spark, "labels")
-    last = events.agg(F.max("event_id")).first()[0]
-    part = F.floor(F.floor(F.col("event_id") / RESPONSE_EVENTS) * RESPONSE_EVENTS * 4 / (last + 1))
-    for i in range(4):
-        events.where(part == i).coalesce(1).write.mode("append").parquet(source)
-    arrivals = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    table, checkpoint = f"{path}/table", f"{path}/checkpoint"
-    upsert_stream(
-        _label_rows(arrivals), table, checkpoint, labels.KEYS, "seq", labels.label_items, compact_after=2
-    ).awaitTermination()
-    return money_as_double(current_rows(spark, table, labels.KEYS, "seq"))
+    table = KeyedTable(f"{scratch_dir(spark, 'label-lookup')}/table", ("image_id",), "seq", buckets=32)
+    table.put(_label_rows(events), 0)
+    images = events.select(F.col("user_id").alias("image_id")).where("image_id % 10 = 0")
+    return table.lookup(images).select("image_id", "tag", "confidence", "seq")
 
 
 # Features
@@ -685,6 +710,8 @@ def _queries() -> dict[str, Query]:
         "label_listing": _label_listing,
         "response_items": _response_items,
         "label_upsert_stream": _label_upsert_stream,
+        "label_state_stream": _label_state_stream,
+        "label_lookup": _label_lookup,
         "image_batches": _image_batches,
         "prepare_images": _prepare_images,
         "one_hot_labels": _one_hot_labels,

@@ -47,8 +47,8 @@ def label_items(
     """The items to store from label rows (image_id, response, tag, confidence, seq).
 
     Keeps the surest labels of each response of an image, with the confidence
-    as decimal. A response arrives whole, so the items do not depend on how
-    rows are split into batches.
+    as decimal. For responses that arrive whole; `streaming.label_state` takes
+    those that come in pieces.
     """
     sure = labels.where(F.col("confidence") >= min_confidence)
     order = [F.col("confidence").desc_nulls_last(), F.col("tag").asc_nulls_last(), F.col("seq").asc_nulls_last()]

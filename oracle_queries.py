@@ -334,6 +334,9 @@ def _labels() -> dict[str, str]:
     return {
         "label_table": table,
         "label_upsert_stream": table,
+        "label_state_stream": table,
+        "label_lookup": """SELECT user_id AS image_id, event_type AS tag, value AS confidence, event_id AS seq FROM events
+          WHERE user_id % 10 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""",
         "label_listing": f"""{best(10, 95)}
           SELECT vec_id AS image_id, CAST(r AS INTEGER) AS rank, name, confidence FROM ranked""",
         "response_items": f"""{best(5, 96)}

@@ -1,12 +1,8 @@
 import datetime as dt
-from decimal import Decimal
-
 import pytest
 from pyspark.sql import types as T
 
-from ledgerloom.plans.labels import KEYS, label_items, response_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
-from ledgerloom.streaming.upserts import compact, current_rows, put_batch, upsert_stream
 
 SCHEMA = T.StructType().add("id", "integer").add("name", "string")
 WHEN = dt.datetime(2025, 5, 3, 1, 2, 3)
@@ -58,61 +54,3 @@ def test_a_failing_batch_fails_the_run_and_is_repeated(spark, tmp_path):
     with pytest.raises(Exception):
         _run(spark, tmp_path, database="not a name")
     assert _run(spark, tmp_path).count() == 1
-
-
-def _items(spark, *rows):
-    return spark.createDataFrame(list(rows), "image_id string, tag string, conf double, seq long")
-
-
-def test_last_write_wins_within_and_across_batches(spark, tmp_path):
-    path = str(tmp_path / "table")
-    put_batch(_items(spark, ("i", "cat", 97.0, 1), ("i", "cat", 96.5, 3), ("i", "dog", 99.0, 2)), path, 0, KEYS, "seq")
-    # A later batch wins, even with a smaller sequence number.
-    put_batch(_items(spark, ("i", "cat", 98.0, 0), ("j", "cat", 96.0, 4)), path, 1, KEYS, "seq")
-    # The repeat of a batch after a failure counts once.
-    put_batch(_items(spark, ("i", "cat", 98.0, 0), ("j", "cat", 96.0, 4)), path, 1, KEYS, "seq")
-    expected = [("i", "cat", 98.0, 0), ("i", "dog", 99.0, 2), ("j", "cat", 96.0, 4)]
-    assert sorted(tuple(r) for r in current_rows(spark, path, KEYS, "seq").collect()) == expected
-
-    for _ in range(2):  # a compaction that is repeated changes nothing
-        compact(spark, path, 1, KEYS, "seq")
-        assert sorted(tuple(r) for r in current_rows(spark, path, KEYS, "seq").collect()) == expected
-    put_batch(_items(spark, ("j", "cat", 99.5, 0)), path, 2, KEYS, "seq")
-    assert ("j", "cat", 99.5, 0) in [tuple(r) for r in current_rows(spark, path, KEYS, "seq").collect()]
-    plan = current_rows(spark, path, KEYS, "seq")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in plan and "upto" in plan
-
-
-def test_a_stream_compacts_after_so_many_batches(spark, tmp_path):
-    source, table = str(tmp_path / "events"), str(tmp_path / "table")
-    for i in range(5):
-        _items(spark, ("i", f"t{i % 2}", 90.0 + i, i)).coalesce(1).write.mode("append").parquet(source)
-    arrivals = spark.readStream.schema(_items(spark).schema).option("maxFilesPerTrigger", 1).parquet(source)
-    upsert_stream(arrivals, table, str(tmp_path / "c"), KEYS, "seq", compact_after=2).awaitTermination()
-    assert {p.name for p in (tmp_path / "table").iterdir()} >= {"upto=-1", "upto=1", "upto=3"}
-    found = sorted((r["tag"], r["seq"]) for r in current_rows(spark, table, KEYS, "seq").collect())
-    assert found == [("t0", 4), ("t1", 3)]
-
-
-def test_label_stream(spark, tmp_path):
-    source, table, checkpoint = (str(tmp_path / name) for name in ("events", "table", "checkpoint"))
-    schema = "image_id string, response long, tag string, confidence double, seq long"
-
-    def run():
-        arrivals = spark.readStream.schema(schema).parquet(source)
-        upsert_stream(arrivals, table, checkpoint, KEYS, "seq", label_items).awaitTermination()
-        return sorted((r["image_id"], r["tag"], r["conf"]) for r in current_rows(spark, table, KEYS, "seq").collect())
-
-    spark.createDataFrame([("i", 1, "cat", 97.0, 1), ("i", 1, "low", 95.9, 2)], schema).write.mode("append").parquet(source)
-    assert run() == [("i", "cat", Decimal("97"))]
-    spark.createDataFrame([("i", 2, "cat", 96.0, 3), ("k", 2, "sky", 100.0, 4)], schema).write.mode("append").parquet(source)
-    assert run() == [("i", "cat", Decimal("96")), ("k", "sky", Decimal("100"))]
-
-
-def test_responses_stream_without_a_batch_step(spark, tmp_path):
-    source, table = str(tmp_path / "responses"), str(tmp_path / "table")
-    schema = "image_id string, labels array<struct<name:string,confidence:double>>, seq long"
-    spark.createDataFrame([("i", [("a", 99.0), ("b", 50.0)], 1), ("j", None, 2)], schema).write.parquet(source)
-    arrivals = response_items(spark.readStream.schema(schema).parquet(source))
-    upsert_stream(arrivals, table, str(tmp_path / "checkpoint"), KEYS, "seq").awaitTermination()
-    assert [(r["image_id"], r["tag"]) for r in current_rows(spark, table, KEYS, "seq").collect()] == [("i", "a")]
