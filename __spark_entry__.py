@@ -36,6 +36,7 @@ from ledgerloom import session
 from ledgerloom.sinks.files import dataset_name, decoded_key, write_csv, write_matrix, write_text_files
 from ledgerloom.sinks.named_files import write_named_files
 from ledgerloom.sources.catalog import register_table, schema_changes, schema_report
+from ledgerloom.sources.evolution import parquet_files, sync_partitions
 from ledgerloom.sources.files import batch_files, infer_csv_schema, read_directory, read_image_batches
 from ledgerloom.sources.standin import cost_items
 from ledgerloom.streaming.arrivals import arriving_csv, ingest_stream
@@ -257,6 +258,34 @@ def _evolved_table(spark, folder):
     return spark.table(table).select("o_orderkey", "o_orderstatus", "o_orderpriority", "part")
 
 
+def _retyped_table(spark, folder):
+    """A table whose later files have a price in whole units and a text key: one column, the wider type."""
+    path, database = f"{scratch_dir(spark, 'retyping')}/orders", _database(spark, "retyped")
+    orders = _table(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    orders.where("o_orderstatus = 'F'").write.partitionBy("o_orderstatus").parquet(path)
+    register_table(spark, path, **database)
+    whole = F.floor("o_totalprice").cast("bigint").alias("o_totalprice")
+    rest = orders.where("o_orderstatus <> 'F'")
+    rest.select(F.concat(F.lit("o"), "o_orderkey").alias("o_orderkey"), whole, "o_orderstatus").write.partitionBy(
+        "o_orderstatus"
+    ).mode("append").parquet(path)
+    table = register_table(spark, path, **database)
+    return spark.table(table).select("o_orderkey", "o_totalprice", "o_orderstatus")
+
+
+def _partition_changes(spark, folder):
+    """What a listing finds against the catalog: registered with two priorities, then written anew with two others."""
+    path, database = f"{scratch_dir(spark, 'partition-changes')}/orders", _database(spark, "changed")
+    orders = _table(spark, folder, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("rank"))
+    orders.where("rank IN ('1', '2')").write.partitionBy("rank").parquet(path)
+    table = register_table(spark, path, **database)
+    orders.where("rank IN ('2', '3')").write.partitionBy("rank").mode("overwrite").parquet(path)
+    changes = sync_partitions(spark, table, path, parquet_files(spark, path), drop=True)
+    counted = spark.table(table).groupBy("rank").agg(F.count(F.lit(1)).alias("rows"))
+    rank = F.regexp_extract("folder", "rank=(.*)", 1).cast("int").alias("rank")
+    return counted.join(changes.select("change", rank), "rank", "full").select("rank", "change", "rows")
+
+
 def _stream_ingest(spark, folder):
     """Two runs of the arrival stream into a table; the second reads only the files that came in between.
 
@@ -693,6 +722,8 @@ def _queries() -> dict[str, Query]:
         "retyped_rows": _retyped_rows,
         "registered_table": _registered_table,
         "evolved_table": _evolved_table,
+        "retyped_table": _retyped_table,
+        "partition_changes": _partition_changes,
         "stream_ingest": _stream_ingest,
         "converted_table": _converted_table,
         "sampled_rows": _sampled_rows,

@@ -2,74 +2,43 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerloom.sources.evolution import (
+    discover,
+    merged_schema,
+    parquet_files,
+    register_groups,
+    sql_name,
+    sql_text,
+    sync_partitions,
+)
 from ledgerloom.sources.files import read_merged_parquet
 
 _REPORT_SCHEMA = "position int, name string, type string"
 _CHANGES_SCHEMA = "name string, old_type string, new_type string, change string"
 
 
-# Types that a file's column may be read as, beside its own.
-_WIDER = {
-    "tinyint": ("smallint", "int", "bigint", "double"),
-    "smallint": ("int", "bigint", "double"),
-    "int": ("bigint", "double"),
-    "float": ("double",),
-    "date": ("timestamp_ntz",),
-}
-
-
-def _name(*parts: str) -> str:
-    return ".".join(f"`{p.replace('`', '``')}`" for p in parts)
-
-
-def _text(value: str) -> str:
-    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def wider_type(one: str, two: str) -> str:
-    """The type that files of both types can be read as; an error if there is none.
-
-    Of nested types that differ, the later one.
-    """
-    if one == two or "<" in one + two:
-        return two
-    for kind in (one, two, *_WIDER.get(one, ())):
-        if all(kind == t or kind in _WIDER.get(t, ()) for t in (one, two)):
-            return kind
-    raise ValueError(f"no file type can be read as both {one} and {two}: rewrite the older files")
+def _known_type(spark: SparkSession, table: str) -> str | None:
+    """EXTERNAL, MANAGED or VIEW; None for a table that is not known."""
+    return spark.catalog.getTable(table).tableType if spark.catalog.tableExists(table) else None
 
 
-def _merged(schemas: Iterable[T.StructType]) -> T.StructType:
-    """The columns of all schemas in the order they come, each in the wider of its types."""
-    types: dict[str, str] = {}
-    for schema in schemas:
-        for field in schema:
-            kind = field.dataType.simpleString()
-            types[field.name] = wider_type(types[field.name], kind) if field.name in types else kind
-    return T.StructType([T.StructField(n, T._parse_datatype_string(k)) for n, k in types.items()])
+def _drop(spark: SparkSession, table: str) -> None:
+    """Forget a table or view; files stay."""
+    kind = "VIEW" if _known_type(spark, table) == "VIEW" else "TABLE"
+    spark.sql(f"DROP {kind} IF EXISTS {sql_name(*table.split('.', 1))}")
 
 
-def discovered_schema(spark: SparkSession, path: str) -> T.StructType:
-    """Columns and partitions of the Parquet files under a path; types that differ are widened.
-
-    One pass over the footers finds them. Only where that meets types that
-    differ are the folders looked at one by one, without their files' rows.
-    """
+def _one_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The columns and partitions of a path's files where Spark can merge them as they are, else None."""
     try:
         return read_merged_parquet(spark, path).schema
     except Exception as error:  # Spark raises this from a task, wrapped
         if "CANNOT_MERGE_SCHEMAS" not in str(error) and "Failed to merge" not in str(error):
             raise
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True)
-    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
-    folders = sorted(r["folder"] for r in files.load(path).select(folder).distinct().collect())
-    return _merged(spark.read.option("basePath", path).parquet(f).schema for f in folders)
+    return None
 
 
 def register_table(
@@ -79,31 +48,46 @@ def register_table(
 
     The table is called {database}.{prefix}{folder} with the columns and
     partitions found under the path. A known table gets columns that are new and
-    wider types where files have them (int to bigint or double, float to
-    double); its columns that are no longer found stay. Files are not moved.
-    Types that no reader can bring together, such as bigint and double, are an
-    error: Parquet does not read one as the other.
+    wider types where files have them; its columns that are no longer found
+    stay. Files are not moved. Only folders that the catalog does not know are
+    added to it; `partition_changes` tells which are gone.
+
+    One pass over the footers finds the columns. Where types differ so that no
+    reader brings them together, such as bigint and double, the table is a view
+    over a table for each kind of files (see `evolution`).
     """
     name = name or path.rstrip("/").rsplit("/", 1)[-1]
     table = f"{database}.{prefix}{name}"
-    at = f" LOCATION {_text(location)}" if location else ""
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {_name(database)}{at}")
-    found = discovered_schema(spark, path)
-    if spark.catalog.tableExists(table):
-        known = spark.table(table).schema
-        _widen(spark, table, _merged([known, found]), path)
+    at = f" LOCATION {sql_text(location)}" if location else ""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {sql_name(database)}{at}")
+    found, evolution = _one_schema(spark, path), None
+    if found is None:
+        evolution = discover(spark, path)
+        found = T.StructType([*evolution.schema.fields, *evolution.partitions.fields])
+    known = _known_type(spark, table)
+    if evolution is not None and len(evolution.groups) > 1:
+        if known and known != "VIEW":
+            _drop(spark, table)
+        register_groups(spark, table, path, evolution)
+        return table
+    if known == "VIEW":
+        _drop(spark, table)
+        known = None
+    if known:
+        _widen(spark, table, merged_schema([spark.table(table).schema, found]), path)
     else:
         _create(spark, table, found, path)
     if _is_partitioned(spark, table):
-        spark.catalog.recoverPartitions(table)
+        sync_partitions(spark, table, path, parquet_files(spark, path).where("folder <> ''"))
+        spark.catalog.refreshTable(table)
     return table
 
 
 def _create(spark: SparkSession, table: str, schema: T.StructType, path: str) -> None:
     partitions = [f.name for f in schema if f"/{f.name}=" in _one_file(spark, path)]
-    columns = ", ".join(f"{_name(f.name)} {f.dataType.simpleString()}" for f in schema)
-    by = f" PARTITIONED BY ({', '.join(map(_name, partitions))})" if partitions else ""
-    spark.sql(f"CREATE TABLE {_name(*table.split('.', 1))} ({columns}) USING parquet{by} LOCATION {_text(path)}")
+    columns = ", ".join(f"{sql_name(f.name)} {f.dataType.simpleString()}" for f in schema)
+    by = f" PARTITIONED BY ({', '.join(map(sql_name, partitions))})" if partitions else ""
+    spark.sql(f"CREATE TABLE {sql_name(*table.split('.', 1))} ({columns}) USING parquet{by} LOCATION {sql_text(path)}")
 
 
 def _one_file(spark: SparkSession, path: str) -> str:
@@ -119,7 +103,7 @@ def _widen(spark: SparkSession, table: str, wanted: T.StructType, path: str) ->
         _add_columns(spark, table, wanted)
         spark.catalog.refreshTable(table)
     else:
-        spark.sql(f"DROP TABLE {_name(*table.split('.', 1))}")  # an external table: files stay
+        spark.sql(f"DROP TABLE {sql_name(*table.split('.', 1))}")  # an external table: files stay
         _create(spark, table, wanted, path)
 
 
@@ -129,16 +113,16 @@ def add_partition(spark: SparkSession, table: str, schema: T.StructType, column:
     `schema` holds the columns of the new files; the table gets those it lacks.
     """
     _add_columns(spark, table, schema)
-    literal = str(value) if isinstance(value, int) else _text(value)
-    spark.sql(f"ALTER TABLE {_name(*table.split('.', 1))} ADD IF NOT EXISTS PARTITION ({_name(column)} = {literal})")
+    literal = str(value) if isinstance(value, int) else sql_text(value)
+    spark.sql(f"ALTER TABLE {sql_name(*table.split('.', 1))} ADD IF NOT EXISTS PARTITION ({sql_name(column)} = {literal})")
     spark.catalog.refreshTable(table)
 
 
 def _add_columns(spark: SparkSession, table: str, found: T.StructType) -> None:
     known = spark.table(table).schema.names
-    added = [f"{_name(f.name)} {f.dataType.simpleString()}" for f in found if f.name not in known]
+    added = [f"{sql_name(f.name)} {f.dataType.simpleString()}" for f in found if f.name not in known]
     if added:
-        spark.sql(f"ALTER TABLE {_name(*table.split('.', 1))} ADD COLUMNS ({', '.join(added)})")
+        spark.sql(f"ALTER TABLE {sql_name(*table.split('.', 1))} ADD COLUMNS ({', '.join(added)})")
 
 
 def _is_partitioned(spark: SparkSession, table: str) -> bool:

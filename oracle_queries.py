@@ -278,6 +278,13 @@ def _ingest() -> dict[str, str]:
         "evolved_table": """SELECT o_orderkey, o_orderstatus,
             CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority,
             CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 2 END AS part FROM orders""",
+        "retyped_table": """SELECT CASE WHEN o_orderstatus = 'F' THEN '' ELSE 'o' END || o_orderkey AS o_orderkey,
+            CASE WHEN o_orderstatus = 'F' THEN o_totalprice ELSE floor(o_totalprice) END AS o_totalprice, o_orderstatus
+          FROM orders""",
+        "partition_changes": """WITH counted AS (
+            SELECT CAST(left(o_orderpriority, 1) AS INTEGER) AS rank, count(*) AS rows FROM orders GROUP BY 1)
+          SELECT rank, CASE rank WHEN 1 THEN 'vanished' WHEN 3 THEN 'added' END AS change,
+            CASE WHEN rank > 1 THEN rows END AS rows FROM counted WHERE rank <= 3""",
         "stream_ingest": f"""SELECT {_ORDER_ROW}, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS run,
             CASE WHEN o_orderstatus = 'F' THEN 'first run' ELSE 'second+run' END AS arrived_in,
             true AS named_after_file FROM orders""",
