@@ -29,6 +29,7 @@ from ledgerloom.functions.money import or_not_available, two_decimals
 from ledgerloom.functions.tags import tags_text
 from ledgerloom.operators.filters import current_period, dates_between
 from ledgerloom.operators.sampling import sample_rows, split_counts, train_test_split
+from ledgerloom.plans.bookmarks import Bookmark, convert_new
 from ledgerloom.plans import corpus, cost, features, ingest, labels, models, tagging, trend
 from ledgerloom.schema import PERIOD as PERIOD_COLUMN
 from ledgerloom.schema import money_as_double, normalise_costs
@@ -311,6 +312,42 @@ def _stream_ingest(spark, folder):
     return orders.join(names, F.col("o_orderkey") == F.col("key")).drop("key")
 
 
+ORDERS_PER_FILE = 1000  # by order key
+
+
+def _order_files(orders: DataFrame) -> DataFrame:
+    """name and content of CSV files with a range of orders each."""
+    line = F.to_csv(F.struct("o_orderkey", "o_orderstatus", "o_totalprice"))
+    part = F.floor(F.col("o_orderkey") / ORDERS_PER_FILE).cast("string")
+    files = orders.groupBy(F.concat(F.lit("orders_"), part, F.lit(".csv")).alias("name")).agg(F.collect_list(line).alias("lines"))
+    header = F.lit("o_orderkey,o_orderstatus,o_totalprice\n")
+    return files.select("name", F.concat(header, F.array_join("lines", "\n")).alias("content"))
+
+
+def _bookmarked_orders(spark, folder):
+    """Order files converted, the job run again, then once more with one new file and one written anew."""
+    root, orders = scratch_dir(spark, "bookmarked"), _table(spark, folder, "orders")
+    part = F.floor(F.col("o_orderkey") / ORDERS_PER_FILE)
+
+    def put(rows: DataFrame, to: str, flat: bool) -> None:
+        write_named_files(_order_files(rows), F.col("name"), F.col("content"), f"{root}/input/{to}", flat=flat)
+
+    def run() -> int:
+        schema = T.StructType().add("o_orderkey", "long").add("o_orderstatus", "string").add("o_totalprice", "double")
+        return sum(r.files for r in convert_new(spark, f"{root}/input", bookmark, schema))
+
+    bookmark = Bookmark(f"{root}/job")
+    put(orders.where(part > 1), "many", False)
+    put(orders.where(part == 0), "few", True)
+    run()
+    again = run()
+    put(orders.where(part == 0).withColumn("o_totalprice", F.col("o_totalprice") + 1000), "few", True)
+    put(orders.where(part == 1), "few", True)
+    last = run()
+    rows = bookmark.rows(spark).select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return rows.withColumns({"files_again": F.lit(again), "files_last": F.lit(last)})
+
+
 def _converted_table(spark, folder):
     """A CSV export converted and registered in one job."""
     table = ingest.convert_and_register(
@@ -726,6 +763,7 @@ def _queries() -> dict[str, Query]:
         "partition_changes": _partition_changes,
         "stream_ingest": _stream_ingest,
         "converted_table": _converted_table,
+        "bookmarked_orders": _bookmarked_orders,
         "sampled_rows": _sampled_rows,
         "refused_inputs": _refused_inputs,
         "batch_files": _batch_files,

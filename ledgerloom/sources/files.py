@@ -26,14 +26,14 @@ def csv_options(sep: str = ",", quote: str = '"', escape: str = "\\", recursive:
     }
 
 
-def infer_csv_schema(spark: SparkSession, path: str, **dialect) -> T.StructType:
+def infer_csv_schema(spark: SparkSession, path: str | list[str], **dialect) -> T.StructType:
     """Column names from the header, types from one pass over the values."""
     return spark.read.options(**csv_options(**dialect)).option("inferSchema", True).csv(path).schema
 
 
 def read_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | None = None,
     corrupt_column: bool = False,
     **dialect,

@@ -289,6 +289,9 @@ def _ingest() -> dict[str, str]:
             CASE WHEN o_orderstatus = 'F' THEN 'first run' ELSE 'second+run' END AS arrived_in,
             true AS named_after_file FROM orders""",
         "converted_table": f"SELECT {_ORDER_ROW} FROM orders",
+        "bookmarked_orders": """SELECT o_orderkey, o_orderstatus,
+            CASE WHEN o_orderkey < 1000 THEN o_totalprice + 1000 ELSE o_totalprice END AS o_totalprice,
+            0 AS files_again, 2 AS files_last FROM orders""",
         "sampled_rows": "SELECT least(count(*), 5)::BIGINT AS rows, 0::BIGINT AS strange FROM orders",
         "refused_inputs": "SELECT * FROM (VALUES ('all', false), ('none', true)) t(input, refused)",
         "batch_files": """SELECT page_id, CASE WHEN page_id // 10 % 5 = 0 THEN 'test' ELSE 'train' END AS split, url
