@@ -642,9 +642,9 @@ def _json_matrix(spark, folder):
 def _trained(spark, folder) -> tuple[models.BoostedTrees, models.BoostedTrees, DataFrame]:
     """A model in the local setup, its copy that went through files, and the test part."""
     split = train_test_split(_measures(spark, folder), "l_orderkey")
-    model = models.train_boosted_trees(split.where("split = 'train'"), 3, rows=TRAINING_ROWS, parallelism=3)
+    model = models.train_boosted_trees(split.where("split = 'train'"), 3, rows=TRAINING_ROWS)
     path = scratch_dir(spark, "model")
-    model.save(path)
+    model.save(spark, path)
     return model, models.load_model(spark, path, 3), split.where("split = 'test'")
 
 

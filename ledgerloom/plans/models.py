@@ -1,80 +1,92 @@
 """Boosted trees: train, save, load, score, evaluate.
 
-Several classes are learnt one against the rest. The margins become
-probabilities by softmax in built-in expressions, so scoring runs no Python.
+Scoring is built-in expressions: a CASE per tree, summed up to the margins of
+the classes, which become probabilities by softmax.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
+import json
+import math
+from dataclasses import asdict, dataclass
 
-from pyspark import inheritable_thread_target
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.arrays import parse_matrix, softmax
+from ledgerloom.plans.boosting import BoostingParams, Node, Tree, train_forest
 
-# The local and the cloud training setups. `gamma` is the least
-# loss reduction of a split, summed over all rows.
-LOCAL_PARAMS = {"stepSize": 0.3, "maxDepth": 3, "maxIter": 20}
-CLOUD_PARAMS = {
-    "stepSize": 0.2,
-    "maxDepth": 5,
-    "maxIter": 100,
-    "gamma": 4.0,
-    "minInstancesPerNode": 6,
-    "subsamplingRate": 0.8,
-}
+# The local and the cloud training setups.
+LOCAL_PARAMS = {"eta": 0.3, "max_depth": 3, "rounds": 20}
+CLOUD_PARAMS = {"eta": 0.2, "max_depth": 5, "rounds": 100, "gamma": 4.0, "min_child_weight": 6.0, "subsample": 0.8}
 CLOUD_CLASSES = 2
 
 _SMALLEST_PROBABILITY = 1e-15
+_FEATURES = "_present"
+
+
+def _number(value: float) -> str:
+    return f"{value!r}D" if math.isfinite(value) else f"double('{value}')"
+
+
+def _tree_sql(tree: Tree, at: int = 0) -> str:
+    """The value a tree gives to an array of features, of which missing ones are null."""
+    node = tree[at]
+    if node.feature < 0:
+        return _number(node.value)
+    left, right = _tree_sql(tree, node.left), _tree_sql(tree, node.right)
+    # Nulls make the comparison null, so they go where it is not false.
+    return f"CASE WHEN get({_FEATURES}, {node.feature}) >= {_number(node.threshold)} THEN {right} ELSE {left} END"
 
 
 @dataclass(frozen=True)
 class BoostedTrees:
-    """A model per class against the rest; just one where there are two classes."""
+    """The trees of each round: one per class, or one where there are two classes."""
 
-    models: tuple[GBTClassificationModel, ...]
+    forest: tuple[tuple[Tree, ...], ...]
+    classes: int
 
-    @property
-    def classes(self) -> int:
-        return max(2, len(self.models))
+    def margins(self) -> Column:
+        """The margins of the classes, from the column of features without missing values."""
+        found = []
+        for k in range(1 if self.classes == 2 else self.classes):
+            values = [_tree_sql(trees[k]) for trees in self.forest]
+            found.append(F.expr(f"aggregate(array({', '.join(values)}), 0D, (a, x) -> a + x)" if values else "0D"))
+        return F.array(F.lit(0.0), *found) if self.classes == 2 else F.array(*found)
 
     def transform(self, df: DataFrame, features: str = "features") -> DataFrame:
         """Add `probabilities` (an array over the classes) and `prediction`."""
-        scored = df.withColumn("_vector", array_to_vector(F.col(features)))
-        margins = []
-        for i, model in enumerate(self.models):
-            kept = [c for c in scored.columns if c != f"_margin_{i}"]
-            margin = (F.get(vector_to_array("_raw"), F.lit(1)) * 2).alias(f"_margin_{i}")
-            scored = _scoring_copy(model).transform(scored).select(*kept, margin)
-            margins.append(F.col(f"_margin_{i}"))
-        if len(margins) == 1:
-            margins = [-margins[0] / 2, margins[0] / 2]
-        scored = scored.withColumn("probabilities", softmax(F.array(*margins)))
+        present = F.transform(features, lambda x: F.when(~F.isnan(x.cast("double")), x.cast("double")))
+        scored = df.withColumn(_FEATURES, present).withColumn("probabilities", softmax(self.margins()))
         best = F.array_position("probabilities", F.array_max("probabilities")) - 1
         scored = scored.withColumn("prediction", best.cast("double"))
         return scored.select(*df.columns, "probabilities", "prediction")
 
-    def save(self, path: str) -> None:
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path.rstrip('/')}/class={i}")
-
-
-def _scoring_copy(model: GBTClassificationModel) -> GBTClassificationModel:
-    copy = model.copy()
-    return copy.setFeaturesCol("_vector").setRawPredictionCol("_raw").setProbabilityCol("").setPredictionCol("_class")
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write the trees as a table of their nodes; replaces what is there."""
+        rows = [
+            (r, k, i, json.dumps(asdict(node)))
+            for r, trees in enumerate(self.forest)
+            for k, tree in enumerate(trees)
+            for i, node in enumerate(tree)
+        ]
+        nodes = spark.createDataFrame(rows, "round int, tree int, node int, content string")
+        nodes.withColumn("classes", F.lit(self.classes)).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str, classes: int) -> BoostedTrees:
     """Read a model that `BoostedTrees.save` wrote for this number of classes."""
-    count = 1 if classes == 2 else classes
-    return BoostedTrees(
-        tuple(GBTClassificationModel.load(f"{path.rstrip('/')}/class={i}") for i in range(count))
-    )
+    rows = spark.read.parquet(path).orderBy("round", "tree", "node").collect()  # as many as the trees have nodes
+    if any(r["classes"] != classes for r in rows):
+        raise ValueError(f"the model has {rows[0]['classes']} classes")
+    forest: list[list[list[Node]]] = []
+    for r in rows:
+        if r["round"] == len(forest):
+            forest.append([])
+        if r["tree"] == len(forest[-1]):
+            forest[-1].append([])
+        forest[-1][-1].append(Node(**json.loads(r["content"])))
+    return BoostedTrees(tuple(tuple(map(tuple, trees)) for trees in forest), classes)
 
 
 # Labelled rows a model is fitted to, unless told otherwise.
@@ -97,39 +109,19 @@ def train_boosted_trees(
     features: str = "features",
     label: str = "label",
     params: dict | None = None,
-    seed: int = 42,
     rows: int | None = TRAINING_ROWS,
     partition_bytes: int = 64 << 20,
-    parallelism: int = 1,
 ) -> BoostedTrees:
-    """Train on an array column of features and labels 0..classes-1.
-
-    `params` are those of GBTClassifier, and `gamma`: Spark's gain of a split is
-    a mean over rows, so it is compared with gamma divided by their number.
-    Training reads its rows in every round, so they are bounded: about `rows`
-    of them are taken by a hash, all for None. They are spread once over
-    partitions of `partition_bytes` (8 bytes a feature). So many classes are
-    fitted at a time as `parallelism` says. With spark.checkpoint.dir set the
-    boosting cuts its lineage there every ten rounds.
+    """Train on an array column of features and labels 0..classes-1; `params` are those of BoostingParams.
+
+    Several classes are learnt together, through the softmax of their margins.
+    Each level of a round reads the training rows, so they are bounded: about
+    `rows` of them are taken by a hash, all for None. They are spread over
+    partitions of `partition_bytes`, a byte a feature.
     """
-    params = dict(LOCAL_PARAMS if params is None else params)
-    data = df.select(F.col(features).alias("features"), F.col(label).alias("_label"))
-    data = bounded_sample(data, rows).select(array_to_vector("features").alias("features"), "_label").persist()
-    try:
-        size = data.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vector_to_array("features"))).alias("width")).first()
-        spread = data.repartition(max(1, -(-size["n"] * 8 * (size["width"] or 1) // partition_bytes)))
-        if "gamma" in params:
-            params["minInfoGain"] = params.pop("gamma") / max(size["n"], 1)
-        targets = [1] if classes == 2 else list(range(classes))
-
-        def fit(target: int) -> GBTClassificationModel:
-            one_against_rest = spread.withColumn("label", (F.col("_label") == target).cast("double"))
-            return GBTClassifier(seed=seed, **params).fit(one_against_rest)
-
-        with ThreadPool(min(parallelism, len(targets))) as pool:
-            return BoostedTrees(tuple(pool.map(inheritable_thread_target(fit), targets)))
-    finally:
-        data.unpersist()
+    data = bounded_sample(df.select(F.col(features).cast("array<double>").alias("features"), F.col(label).alias("label")), rows)
+    forest = train_forest(data, classes, BoostingParams(**(LOCAL_PARAMS if params is None else params)), partition_bytes)
+    return BoostedTrees(tuple(map(tuple, forest)), classes)
 
 
 def score_requests(requests: DataFrame, model: BoostedTrees, key: str, body: str = "body") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.arrays import parse_matrix, softmax
 from ledgerloom.plans import models
 
-PARAMS = {**models.LOCAL_PARAMS, "maxIter": 4}
+PARAMS = {**models.LOCAL_PARAMS, "rounds": 4}
 
 
 @pytest.fixture(scope="module")
@@ -37,29 +37,30 @@ def test_separable_classes_are_learnt(flowers, model):
 
 
 def test_saved_models_score_the_same(spark, flowers, model, tmp_path):
-    model.save(str(tmp_path / "m"))
+    for _ in range(2):
+        model.save(spark, str(tmp_path / "m"))
     loaded = models.load_model(spark, str(tmp_path / "m"), 3)
+    assert loaded == model
+    with pytest.raises(ValueError, match="3 classes"):
+        models.load_model(spark, str(tmp_path / "m"), 2)
     before = model.transform(flowers).select("id", "probabilities", "prediction")
     after = loaded.transform(flowers).select("id", "probabilities", "prediction")
     assert sorted(before.collect()) == sorted(after.collect())
 
 
-def test_two_classes_take_one_model(spark, flowers, tmp_path):
+def test_two_classes_take_one_tree_a_round(spark, flowers, tmp_path):
     two = flowers.withColumn("label", (F.col("label") == 2).cast("int"))
     model = models.train_boosted_trees(two, 2, params=PARAMS)
-    assert len(model.models) == 1 and model.classes == 2
-    own = model.models[0].transform(two.select(models.array_to_vector("features").alias("features")))
-    expected = sorted(own.select(F.get(models.vector_to_array("probability"), F.lit(1))).collect())
-    actual = sorted(model.transform(two).select(F.get("probabilities", F.lit(1))).collect())
-    assert all(math.isclose(a[0], b[0], abs_tol=1e-12) for a, b in zip(actual, expected))
-    model.save(str(tmp_path / "m"))
-    assert models.load_model(spark, str(tmp_path / "m"), 2).classes == 2
+    assert [len(trees) for trees in model.forest] == [1] * 4
+    model.save(spark, str(tmp_path / "m"))
+    assert models.load_model(spark, str(tmp_path / "m"), 2) == model
+    assert models.evaluate(model.transform(two)).first()["accuracy"] > 0.95
 
 
 def test_the_cloud_setup_learns(flowers):
     two = flowers.withColumn("label", (F.col("label") == 2).cast("int"))
-    model = models.train_boosted_trees(two, 2, params={**models.CLOUD_PARAMS, "maxIter": 4}, partition_bytes=2000, parallelism=2)
-    assert models.CLOUD_PARAMS["gamma"] == 4.0
+    model = models.train_boosted_trees(two, 2, params={**models.CLOUD_PARAMS, "rounds": 4}, partition_bytes=2000)
+    assert (models.CLOUD_PARAMS["gamma"], models.CLOUD_PARAMS["min_child_weight"]) == (4.0, 6.0)
     assert models.evaluate(model.transform(two)).first()["accuracy"] > 0.95
 
 
