@@ -235,6 +235,13 @@ def _retyped_rows(spark, folder):
     return typed.withColumn("o_orderdate", F.to_date("o_orderdate"))
 
 
+def _retyped_once(spark, folder):
+    """The same rows from one scan of the export, written while the types are found."""
+    texts = spark.read.option("header", True).csv(_orders_as_csv(spark, folder))
+    typed = ingest.retype_once(texts, scratch_dir(spark, "retyped"))
+    return typed.withColumn("o_orderdate", F.to_date("o_orderdate"))
+
+
 def _database(spark, purpose: str) -> dict:
     location = scratch_dir(spark, purpose)
     return {"database": location.rsplit("/", 1)[-1].replace("-", "_"), "location": f"{location}/warehouse"}
@@ -757,6 +764,7 @@ def _queries() -> dict[str, Query]:
         "schema_report": _schema_report,
         "schema_changes": _schema_changes,
         "retyped_rows": _retyped_rows,
+        "retyped_once": _retyped_once,
         "registered_table": _registered_table,
         "evolved_table": _evolved_table,
         "retyped_table": _retyped_table,

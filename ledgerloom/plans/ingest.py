@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,16 +84,8 @@ _WHOLE_NUMBER = r"^\s*[+-]?[0-9]+\s*$"
 _POINT_NUMBER = r"^\s*[+-]?([0-9]+\.[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 
 
-def retype_strings(df: DataFrame) -> DataFrame:
-    """Give text columns the narrowest of bigint, double and string that fits all values.
-
-    A column is promoted only if each of its non-empty values is a number, then
-    empty values become NULL. One aggregate over the data decides for all
-    columns and returns a single row.
-    """
-    texts = [f.name for f in df.schema if f.dataType == T.StringType()]
-    if not texts:
-        return df
+def _type_states(texts: Sequence[str]) -> list[Column]:
+    """Per text column whether all non-empty values are whole numbers, and whether they are numbers; null if none is."""
 
     def whole(c):
         return c.rlike(_WHOLE_NUMBER) & c.try_cast("bigint").isNotNull()
@@ -101,24 +93,57 @@ def retype_strings(df: DataFrame) -> DataFrame:
     def number(c):
         return whole(c) | (c.rlike(_POINT_NUMBER) & c.try_cast("double").isNotNull())
 
-    checks = []
+    states = []
     for i, name in enumerate(texts):
-        value = F.col(f"`{name}`")
-        filled = value != ""
-        checks += [
-            F.bool_and(F.when(filled, whole(value))).alias(f"whole_{i}"),
-            F.bool_and(F.when(filled, number(value))).alias(f"number_{i}"),
+        value = F.col(_quoted(name))
+        states += [
+            F.bool_and(F.when(value != "", test(value))).alias(f"{state}_{i}")
+            for state, test in (("whole", whole), ("number", number))
         ]
-    found = df.agg(*checks).first()
+    return states
+
+
+def _quoted(name: str) -> str:
+    return f"`{name}`"
+
+
+def _text_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema if f.dataType == T.StringType()]
+
+
+def _retyped(df: DataFrame, texts: Sequence[str], found: dict) -> DataFrame:
+    """`df` with the text columns cast to what their states allow."""
     types = {}
     for i, name in enumerate(texts):
         if found[f"whole_{i}"]:
             types[name] = "bigint"
         elif found[f"number_{i}"]:
             types[name] = "double"
-    return df.select(
-        *[
-            F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`")
-            for c in df.columns
-        ]
-    )
+    columns = ((c, F.col(_quoted(c))) for c in df.columns)
+    return df.select(*[value.try_cast(types[c]).alias(c) if c in types else value for c, value in columns])
+
+
+def retype_strings(df: DataFrame) -> DataFrame:
+    """Give text columns the narrowest of bigint, double and string that fits all values.
+
+    A column is promoted only if each of its non-empty values is a number, then
+    empty values become NULL. One aggregate over the data decides for all
+    columns and returns a single row; `df` is read again where the result is
+    used. `retype_once` reads it once.
+    """
+    texts = _text_columns(df)
+    return _retyped(df, texts, df.agg(*_type_states(texts)).first().asDict()) if texts else df
+
+
+def retype_once(df: DataFrame, path: str, mode: str = "errorifexists") -> DataFrame:
+    """As `retype_strings`, with one scan of `df`: its texts are written as Parquet, and the types observed meanwhile.
+
+    Each task adds its rows' states to those of the others, so the types are
+    known when the write ends. The result casts as it reads what was written.
+    """
+    texts = _text_columns(df)
+    seen = Observation()
+    observed = df.observe(seen, *_type_states(texts)) if texts else df
+    observed.write.mode(mode).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    return _retyped(written, texts, seen.get) if texts else written

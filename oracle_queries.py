@@ -248,6 +248,7 @@ def _ingest() -> dict[str, str]:
     return {
         "csv_roundtrip": f"SELECT {_ORDER_ROW} FROM orders",
         "retyped_rows": f"SELECT {_ORDER_ROW} FROM orders",
+        "retyped_once": f"SELECT {_ORDER_ROW} FROM orders",
         "registered_table": f"SELECT {_ORDER_ROW} FROM orders",
         "misfit_rows": """SELECT false AS misfit, count(*) AS rows, CAST(sum(o_orderkey) AS BIGINT) AS key_sum FROM orders
           UNION ALL SELECT true, count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer""",

@@ -107,6 +107,34 @@ def test_retyping_promotes_only_whole_columns(spark):
     ]
 
 
+def test_retyping_in_one_scan(spark, tmp_path):
+    """The same types and rows as in two passes, and each row of the source is read once."""
+    rows = [("1", "x`y", "2.5", "", None), ("", "7", "3", "", "8"), ("-4", "", ".5", "", None)] * 50
+    df = spark.createDataFrame(rows, ["a", "b c", "d", "e", "f"])
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    source = df.repartition(5).mapInArrow(counted, df.schema)
+    typed, expected = ingest.retype_once(source, str(tmp_path / "once")), ingest.retype_strings(df)
+    assert typed.dtypes == expected.dtypes == [("a", "bigint"), ("b c", "string"), ("d", "double"), ("e", "string"), ("f", "bigint")]
+    assert sorted(map(str, typed.collect())) == sorted(map(str, expected.collect()))
+    assert read.value == 150
+    empty = ingest.retype_once(spark.read.schema(df.schema).csv(str(_folder(tmp_path))), str(tmp_path / "empty"))
+    assert empty.isEmpty() and empty.dtypes == df.dtypes
+    numbers = ingest.retype_once(spark.range(3), str(tmp_path / "numbers"))
+    assert numbers.dtypes == [("id", "bigint")] and numbers.count() == 3
+
+
+def _folder(tmp_path):
+    path = tmp_path / "no files"
+    path.mkdir()
+    return path
+
+
 def test_retyping_refuses_java_number_suffixes(spark):
     df = spark.createDataFrame([("1.5d", "1.5f", "NaN", "1.5e2", " 2.5 ")], "a string, b string, c string, d string, e string")
     assert tuple(ingest.retype_strings(df).first()) == ("1.5d", "1.5f", "NaN", 150.0, 2.5)
