@@ -27,9 +27,9 @@ BLOCK = 8192
 QUERY_BLOCK = 2048
 
 
-def _usable(vector: Column, dimension: int) -> Column:
+def _usable(vector: Column) -> Column:
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return vector.isNotNull() & (F.size(vector) == dimension) & finite & F.exists(vector, lambda x: x != 0)
+    return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -61,8 +61,11 @@ def learn(vectors: DataFrame, n: int, k: int, recall: float, sample: int = SAMPL
     table = vectors.orderBy("print").limit(sample).select("vector").toArrow()
     unit = _unit(_matrix(table.column("vector")))
     parts = max(1, min(PARTS, round(math.sqrt(n) / 4), len(unit) // 8))
-    router = learn_router(unit, parts)
-    return router, probes_for(router, unit, np.arange(min(CALIBRATION, len(unit))), k, recall)
+    # The router does not see the vectors for which the probes are counted.
+    held = min(CALIBRATION, len(unit) // 5)
+    router = learn_router(unit[: len(unit) - held], parts)
+    asked = np.arange(len(unit) - held, len(unit)) if held else np.arange(len(unit))
+    return router, probes_for(router, unit, asked, k, recall)
 
 
 def _assigned(router: Router):
@@ -124,8 +127,8 @@ def search(
     `embeddings` has vec_id and embedding. The score is the cosine in double
     precision of the vectors as given; ties go to the smaller vec_id. A row is
     no candidate for its own vec_id. Null ids, and vectors that are null, zero,
-    of another length than the longest, or hold null or non-finite components
-    take no part. Repeated rows count once; a query with several vectors gets
+    of another length than most of the others (of the longer, if as many have
+    it), or hold null or non-finite components take no part. Repeated rows count once; a query with several vectors gets
     the nearest to any of them. No rows give no rows; other columns are not read.
 
     The probes are as many as find `recall` of the neighbours inside the sample.
@@ -134,8 +137,10 @@ def search(
     """
     keep = k + 1
     rows = embeddings.select(F.col("vec_id").cast("bigint"), F.col("embedding").alias("vector"))
-    dimension = rows.agg(F.max(F.size("vector"))).first()[0] or 0
-    rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector"), max(1, dimension)))
+    rows = rows.where(F.col("vec_id").isNotNull() & _usable(F.col("vector")))
+    lengths = rows.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+    usual = lengths.orderBy(F.desc("n"), F.desc("length")).first()
+    rows = rows.where(F.size("vector") == (usual["length"] if usual else 0))
     asked = F.col("vec_id") % every == 0
     vectors = saved(distinct_vectors(rows, keep), "vectors")
     n = vectors.count()

@@ -19,8 +19,10 @@ def _rows(n, dimension=16, seed=0, clusters=None):
 def by_hand(rows, every=50, k=5):
     """query_id -> (-cosine, vec_id) of the k nearest, over all pairs."""
     good = [(i, np.array(v, np.float32).astype(float)) for i, v, *_ in rows if i is not None and v and None not in v]
-    longest = max((len(v) for _, v in good), default=0)
-    good = [(i, v) for i, v in good if np.isfinite(v).all() and v.any() and len(v) == longest]
+    good = [(i, v) for i, v in good if np.isfinite(v).all() and v.any()]
+    lengths = [len(v) for _, v in good]
+    usual = max(lengths, key=lambda n: (lengths.count(n), n), default=0)
+    good = [(i, v) for i, v in good if len(v) == usual]
     ids, vectors = np.array([i for i, _ in good]), np.array([v for _, v in good])
     norms, found = np.sqrt((vectors * vectors).sum(axis=1)), {}
     for q in np.flatnonzero(ids % every == 0).tolist():
@@ -67,6 +69,21 @@ def test_unusable_vectors_take_no_part(spark):
     assert {q: [i for _, i in x] for q, x in found.items()} == {q: [i for _, i in x] for q, x in by_hand(rows).items()}
 
 
+def test_a_longer_row_does_not_remove_the_others(spark):
+    rows = _rows(60, 4) + [(1000, [1.0] * 5, 1, "x"), (1050, [None] * 5, 1, "x"), (1100, [0.5] * 3, 1, "x")]
+    found, wanted = _searched(spark, rows, recall=1.0), by_hand(rows)
+    assert {q: [i for _, i in x] for q, x in found.items()} == {q: [i for _, i in x] for q, x in wanted.items()}
+    assert found.keys() == {0, 50}
+
+
+def test_recall_on_vectors_that_the_sample_does_not_hold(spark):
+    """A sample of a tenth teaches the router and sets the probes; nearly all vectors are new to it."""
+    rows = _rows(4000, 16, clusters=40)
+    found, wanted = _searched(spark, rows, sample=400), by_hand(rows)
+    hits = sum(len({i for _, i in found[q]} & {i for _, i in wanted[q]}) for q in wanted)
+    assert len(wanted) == 80 and hits / (5 * len(wanted)) >= 0.9
+
+
 def test_few_rows(spark):
     rows = _rows(3)
     assert {q: [i for _, i in x] for q, x in _searched(spark, rows).items()} == {0: [i for _, i in by_hand(rows)[0]]}
