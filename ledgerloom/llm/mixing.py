@@ -133,12 +133,15 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     source's budget ends is cut after the word that meets it. Documents without
     words take none of the budget, so they come as often as whole epochs say.
     """
-    plan = mix_plan(docs, n_words(F.col("text")), [F.xxhash64("text")], **options)
+    row = F.struct(*(docs[f"`{name}`"] for name in docs.columns)).alias("_row")
+    # Beside the keys a document is one column, so none of its own is taken for one of the plan.
+    plan = mix_plan(docs.select("doc_id", "source", row), n_words(F.col("_row.text")), [F.xxhash64("_row.text")], **options)
     copies = F.col("full_epochs") + (F.col("extra") > 0).cast("bigint")
     repeated = plan.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
     part = (F.col("copy") > F.col("full_epochs")) & (F.col("extra") < F.col("size"))
-    text = F.when(part, first_words(F.col("text"), F.col("extra"))).otherwise(F.col("text"))
-    return repeated.withColumn("text", text).select(*(f"`{name}`" for name in docs.columns))
+    whole = F.col("_row.text")
+    text = F.when(part, first_words(whole, F.col("extra"))).otherwise(whole).alias("text")
+    return repeated.select(*(text if name == "text" else F.col(f"_row.`{name}`") for name in docs.columns))
 
 
 def mixing(spark, folder) -> DataFrame:

@@ -84,6 +84,16 @@ def test_odd_rows(spark, make_docs, odd_rows):
     assert mixing.mix_documents(make_docs((1, ""), (2, None))).count() == 0
 
 
+def test_columns_named_like_those_of_the_plan_are_kept(spark):
+    names = ["size", "source_size", "target", "full_epochs", "extra", "taken", "copy", "bucket", "key", "source_key"]
+    columns = "doc_id bigint, source string, text string, " + ", ".join(f"{n} bigint" for n in names)
+    rows = [(i, "ab"[i % 2], "w " * (i + 1), *(100 * i + j for j in range(len(names)))) for i in range(12)]
+    mixed = mixing.mix_documents(spark.createDataFrame(rows, columns))
+    assert mixed.columns == columns.replace(" bigint", "").replace(" string", "").split(", ")
+    for r in mixed.collect():
+        assert [r[n] for n in names] == [100 * r["doc_id"] + j for j in range(len(names))]
+
+
 def test_plan_has_no_python(spark, make_docs):
     plan = mixing.mix_documents(make_docs((1, "a b")))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Cartesian" not in plan
