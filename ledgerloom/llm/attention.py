@@ -9,6 +9,7 @@ the attention learns from them which passages tell.
 from __future__ import annotations
 
 import dataclasses
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,10 @@ THRESHOLD = 0.3
 BIGRAMS = 64
 HIDDEN = 32
 GATE = 16
-# Bytes of text encoded at a time. A longer text is cut there, after a space.
+# Bytes of text encoded at a time. A longer text is cut between passages; a passage of more than
+# _LONGEST characters, whose words have some 100,000 each, counts as passages of that length.
 _SLICE = 1 << 21
+_LONGEST = 1 << 23
 
 
 def _classes() -> tuple[np.ndarray, int]:
@@ -95,14 +98,27 @@ def encode(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes, passages
 
 
-def _cut(text: str) -> Iterator[str]:
-    """The text in parts of at most about _SLICE bytes, cut after spaces where there are any."""
-    size = _SLICE // 4
-    while len(text) > size:
-        at = max(text.rfind(" ", size // 2, size), text.rfind("\n", size // 2, size)) + 1 or size
-        yield text[:at]
-        text = text[at:]
-    yield text
+_PASSAGE = re.compile(r"[ \t-\r]*(?:[^ \t-\r]+[ \t-\r]+){%d}" % PASSAGE_WORDS)
+
+
+def _cut(text: str) -> Iterator[tuple[str, bool]]:
+    """The text in parts of some whole passages, about _SLICE bytes together.
+
+    A part that is not the last has one more letter, the first of the next
+    passage, as pairs of letters reach over the end; its code is not used.
+    """
+    size, start, at = _SLICE // 4, 0, 0
+    while len(text) - start > size:
+        found = _PASSAGE.match(text, at, at + _LONGEST)
+        if found is None and len(text) - at <= _LONGEST:
+            break
+        at = found.end() if found else at + _LONGEST
+        if at == len(text):
+            break
+        if at - start >= size or found is None:
+            yield text[start : at + 1], True
+            start = at
+    yield text[start:], False
 
 
 def encode_texts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -114,8 +130,8 @@ def encode_texts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
     for first in np.flatnonzero(np.diff(part, prepend=-1)).tolist():
         last = int(np.searchsorted(part, part[first], "right"))
         if large[first]:
-            found = [encode_one(x) for x in _cut(texts[first].as_py())]
-            codes = np.concatenate([x for x in found if len(x)])
+            found = [encode_one(x)[: -1 if more else None] for x, more in _cut(texts[first].as_py())]
+            codes = np.concatenate(found)
             yield first, last, codes, np.array([len(codes)])
             continue
         some = texts.slice(first, last - first)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import attention as att
@@ -20,12 +21,21 @@ def test_passages():
         assert np.allclose(codes[at : at + passages[i]], att.encode_one(text or ""))
 
 
-def test_long_texts_are_cut(monkeypatch):
+@pytest.mark.parametrize("gap", [" ", "\n\n", "\t \r"])
+def test_long_texts_have_the_same_codes_as_whole(monkeypatch, gap):
+    """A text is cut between passages, so its codes do not depend on where."""
+    rng = np.random.default_rng(4)
+    text = gap + gap.join("wé"[i % 2] * int(n) + str(i % 7) for i, n in enumerate(rng.integers(1, 12, 5000)))
+    texts = [text, text + gap, "x" * 9000, " " * 9000, text[: len(text) // 2]]
+    whole = [att.encode_one(t) for t in texts]
     monkeypatch.setattr(att, "_SLICE", 4000)
-    text = " ".join(f"w{i}" for i in range(5000))
-    runs = list(att.encode_texts(pa.array(["a", text, "b", None], pa.string())))
-    assert [(f, l) for f, l, *_ in runs] == [(0, 1), (1, 2), (2, 4)]
-    assert runs[1][2].shape[0] == runs[1][3].sum() >= 50
+    for t, codes in zip(texts, whole):
+        runs = list(att.encode_texts(pa.array(["a", t, "b", None], pa.string())))
+        assert [(f, l) for f, l, *_ in runs] == [(0, 1), (1, 2), (2, 4)]
+        assert runs[1][3].tolist() == [len(codes)] and np.array_equal(runs[1][2], codes)
+    assert len(list(att._cut(text))) > 5 and sum(len(part) - more for part, more in att._cut(text)) == len(text)
+    monkeypatch.setattr(att, "_LONGEST", 2000)
+    assert [len(part) - more for part, more in att._cut("x" * 9000)] == [2000, 2000, 2000, 2000, 1000]
 
 
 def _setup(seed=0, n=12):
