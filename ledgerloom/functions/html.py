@@ -31,6 +31,8 @@ _DROPPED = (
 )
 _TAG = rf"</?[a-zA-Z]{_ATTRIBUTES}>"
 
+# No character of any text.
+_MARK = "\ufffe"
 _REFERENCE = "^(#[xX][0-9a-fA-F]+|#[0-9]+|[A-Za-z][A-Za-z0-9]*)"
 
 # All names of HTML 5, the usual ones first: a lookup tries them in turn.
@@ -43,9 +45,13 @@ _CONTROLS = {str(n): bytes([n]).decode("windows-1252", "ignore") or chr(n) for n
 
 
 def html_to_text(html: Column) -> Column:
-    """The text of an HTML page."""
-    kept = F.regexp_replace(html, _DROPPED, "")
-    return decode_references(F.regexp_replace(kept, _TAG, ""))
+    """The text of an HTML page.
+
+    Where a tag was, a mark stays until references are decoded: a name without a
+    semicolon ends there, and does not run on into the text behind the tag.
+    """
+    kept = F.regexp_replace(F.regexp_replace(html, _DROPPED, _MARK), _TAG, _MARK)
+    return F.replace(decode_references(kept), F.lit(_MARK), F.lit(""))
 
 
 def decode_references(text: Column) -> Column:

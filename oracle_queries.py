@@ -305,10 +305,11 @@ def _page_text(html: str) -> str:
     dropped = "(?is)<!--.*?-->|" + "|".join(
         f"<{e}\\b[^>]*>.*?</{e}\\s*>" for e in ("script", "style", "head", "title")
     ) + "|<![^>]*>"
-    text = f"regexp_replace(regexp_replace({html}, '{dropped}', '', 'g'), '</?[a-zA-Z][^>]*>', '', 'g')"
+    text = f"regexp_replace(regexp_replace({html}, '{dropped}', chr(65534), 'g'), '</?[a-zA-Z][^>]*>', chr(65534), 'g')"
     for reference, character in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        text = f"replace({text}, '{reference}', '{character}')"
-    return text
+        # The semicolon may be missing where the name ends anyway.
+        text = f"regexp_replace({text}, '{reference[:-1]}(?:;|\\b)', '{character}', 'g')"
+    return f"replace({text}, chr(65534), '')"
 
 
 def _corpus() -> dict[str, str]:

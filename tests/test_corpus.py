@@ -12,6 +12,7 @@ from ledgerloom.sources.files import read_directory
 
 CASES = {
     "plain": "plain",
+    "<p>a&amp</p><p>Be</p>&eacute<!-- x -->s &am<b>p; c&ampÄ": "a&Beés &amp; c&Ä",
     "": "",
     "a<b>c</b>d<br/>e": "acde",
     "<head><title>t</title></head><header>h</header>": "h",
