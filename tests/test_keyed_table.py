@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.labels import KEYS, label_items, label_table, response_items
 from ledgerloom.session import ship_package
 from ledgerloom.streaming.keyed_table import ConcurrentWriteError, KeyedTable, upsert_stream
-from ledgerloom.streaming.label_state import current_labels, label_state_table, label_stream
+from ledgerloom.streaming.label_state import current_labels, label_changes, label_state_table, label_stream
 
 ITEM = "image_id string, tag string, conf double, seq long"
 
@@ -218,3 +218,19 @@ def test_responses_in_pieces_give_the_batch_table(spark, tmp_path, seed):
     assert found == wanted
     held = [json.loads(r[0]) for r in table.rows(spark).select(F.to_json(F.struct("gone"))).collect()]
     assert any(r["gone"] for r in held)
+
+
+def test_only_sure_rows_reach_the_state(spark, tmp_path):
+    """A row below the limit, without one or with NaN goes before the shuffle to the state, not in it."""
+    source = str(tmp_path / "events")
+    rows = [("i", 1, "cat", 97.0, 1), ("i", 2, "low", 95.9, 2), ("j", 1, "none", None, 3), ("k", 1, "nan", float("nan"), 4)]
+    spark.createDataFrame(rows, LABEL).write.parquet(source)
+    changes = label_changes(_arrivals(spark, source, LABEL))
+    plan = changes._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" in plan and "Filter" in plan.split("TransformWithState", 1)[1]
+    below = plan.split("Filter", 1)[1].split("\n", 1)[0]
+    assert "96.0" in below and "isnan" in below
+    ship_package(spark)
+    table = label_state_table(str(tmp_path / "table"), buckets=3)
+    label_stream(_arrivals(spark, source, LABEL), table, str(tmp_path / "c")).awaitTermination()
+    assert [(r["image_id"], r["tag"]) for r in current_labels(spark, table).collect()] == [("i", "cat")]
